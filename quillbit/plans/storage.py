@@ -57,3 +57,10 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES, expansion: int = 4)
     splitting skewed partitions at run time.
     """
     return F.broadcast(df) if stored_bytes(df) * expansion <= limit else df
+
+
+def smaller_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in an Arrow batch, for operators on whole texts, where the session has Spark's default."""
+    key, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(rows))
