@@ -38,7 +38,7 @@ CAPITAL = re.compile("[A-Z\u00c0-\u00de]")
 PREFIXES = (4, 5, 6)
 MAX_POSITIVES, MAX_UNLABELLED = 2000, 4000
 #: Words whose features a worker remembers.
-CACHE = 1 << 20
+CACHE = 1 << 17
 
 
 def word_features(word: str) -> list[str]:
@@ -121,15 +121,13 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
 def train(positive: list[str], unlabelled: list[str], labelled: list[tuple[str, int]], prior: float, min_texts: int = 3,
           evidence: float = 20.0, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Fit by full-batch Adam; deterministic."""
-    sets = [features(t) for t in positive], [features(t) for t in unlabelled]
-    count = [Counter(f for s in part for f in s) for part in sets]
     n, m = len(positive), max(len(unlabelled), 1)
-    good = sorted(
-        f for f, a in count[0].items()
-        if a >= min_texts and a * m > count[1][f] * n and _ratio(a, n, count[1][f], m) >= evidence
-    )
+    # Texts are read twice and their features never kept: only what positives repeat is counted elsewhere.
+    common = {f: a for f, a in Counter(f for t in positive for f in features(t)).items() if a >= min_texts}
+    elsewhere = Counter(f for t in unlabelled for f in features(t) if f in common)
+    good = sorted(f for f, a in common.items() if a * m > elsewhere[f] * n and _ratio(a, n, elsewhere[f], m) >= evidence)
     index = {f: i for i, f in enumerate(good)}
-    p, u = (Sparse([sorted(index[f] for f in s if f in index) for s in part], len(index)) for part in sets)
+    p, u = (Sparse([sorted(index[f] for f in features(t) if f in index) for t in part], len(index)) for part in (positive, unlabelled))
     w, b = np.zeros(len(index)), 0.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
     for step in range(1, epochs + 1):
