@@ -426,9 +426,8 @@ class LZW:
                     current = longer
                     continue
                 emit(current)
-                if x != end:
-                    words[(current, x)] = size
-                    size += 1
+                words[(current, x)] = size  # also before the end mark, as a decoder cannot tell
+                size += 1
                 current = -1
             if self.seeded:
                 current = x

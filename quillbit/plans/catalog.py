@@ -11,6 +11,7 @@ from quillbit.functions import special, text
 from quillbit.functions import symbols as S
 from quillbit.operators import adaptive as A
 from quillbit.operators import distributions as D
+from quillbit.operators import generate
 from quillbit.operators import histogram as H
 from quillbit.operators import report as R
 from quillbit.operators import sampling, search
@@ -342,8 +343,9 @@ def most_probable_symbol(spark, sf):
 
 
 def _sizes(spark, sf, layer: str, base: str) -> DataFrame:
+    """Documents are dealt to all cores first: coding a text costs far more than moving it."""
     bits = score.measure_column(F.col("text"), parse(layer, base))
-    return documents(spark, sf).select("doc_id", F.octet_length("text").cast("long").alias("size"), bits.alias("bits"))
+    return A.deal(documents(spark, sf)).select("doc_id", F.octet_length("text").cast("long").alias("size"), bits.alias("bits"))
 
 
 @query
@@ -372,7 +374,7 @@ def size_crp(spark, sf):
 
 
 def _codec(spark, sf, name: str) -> DataFrame:
-    docs = documents(spark, sf).select("doc_id", score.score_column(F.col("text"), F.lit(f"ref_{name}"), True).alias("r"))
+    docs = A.deal(documents(spark, sf)).select("doc_id", score.score_column(F.col("text"), F.lit(f"ref_{name}"), True).alias("r"))
     return docs.select("doc_id", "r.csize", "r.status")
 
 
@@ -395,7 +397,7 @@ def size_lzma(spark, sf):
 def roundtrip_coder(spark, sf):
     """Documents that packing and unpacking by PPM changes: none."""
     spec = parse("ppm:d=3", "uniform_stoken")
-    docs = documents(spark, sf).withColumn("back", score.decompress_column(score.compress_column(F.col("text"), spec), spec))
+    docs = A.deal(documents(spark, sf)).withColumn("back", score.decompress_column(score.compress_column(F.col("text"), spec), spec))
     return docs.agg(F.count("*").alias("n"), F.sum((F.col("back") != F.encode("text", "UTF-8")).cast("long")).alias("mismatches"))
 
 
@@ -408,6 +410,29 @@ def coder_trace(spark, sf):
     return steps.groupBy("item_id").agg(F.count("*").alias("steps"), F.round(F.sum(-F.log2(width)), 3).alias("bits"))
 
 
+@query
+def mtf_rank(spark, sf):
+    """Ranks of bytes in a move-to-front list: how often each rank occurs."""
+    docs = A.deal(documents(spark, sf)).select(F.explode(score.ranks_column(F.col("text"))).alias("rank"))
+    return docs.groupBy("rank").agg(F.count("*").alias("n"))
+
+
+@query
+def predictive_entropy(spark, sf):
+    """What PPM expects at each byte of a benchmark item: mean entropy in bits over letters and marks."""
+    items = A.deal(table(spark, sf, "benchmark"), "item_id")
+    found = generate.entropies_column(F.col("text"), parse("ppm:d=2", "uniform_byte"), list(range(32, 127)))
+    mean = F.aggregate("e", F.lit(0.0), lambda s, v: s + v) / F.size("e")
+    return items.select("item_id", found.alias("e")).select("item_id", F.size("e").alias("n"), F.round(mean, 4).alias("entropy"))
+
+
+@query
+def generated_texts(spark, sf):
+    """Symbols drawn from a model, by seed."""
+    rows = generate.generated(spark, parse("ppm:d=1", "uniform_byte"), 20, 200)
+    return rows.select("id", F.size("symbols").alias("n"), F.size(F.array_distinct("symbols")).alias("distinct"))
+
+
 # --- result tables ---------------------------------------------------------------------------
 
 

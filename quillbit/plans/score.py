@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillbit.functions import symbols as S
 from quillbit.operators.coder import BitBuffer, BitCounter, Decoder, Encoder, bits_of
-from quillbit.operators.sequential import LZW
+from quillbit.operators.sequential import LZW, MoveToFront
 from quillbit.plans.spec import ModelSpec, named, parse
 
 
@@ -179,6 +179,21 @@ def decompress_column(data: Column, spec: ModelSpec) -> Column:
     return run(data)
 
 
+def ranks_column(data: Column) -> Column:
+    """Move-to-front ranks of the bytes of each value, from a list of 0..255."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            out = []
+            for v in values:
+                mtf = MoveToFront(list(range(256)))
+                out.append([mtf.rank(x) for x in raw(v)])
+            yield pd.Series(out)
+
+    return run(data)
+
+
 def grid(files: DataFrame, algorithms: list[str], data: str = "content", key: str = "file", paranoid: bool = False) -> DataFrame:
     """Every file by every algorithm: (file, size, algo, csize, status, bits_per_byte).
 
