@@ -168,7 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", act
 def _without(text: str | None, spans) -> str | None:
     if text is None or not len(spans):
         return text
-    at = [m.span() for m in WORDS.finditer(text)]
+    at = [m.span() for m in WORDS.finditer(text.translate(LOWER))]
     out, last = [], 0
     for s in spans:
         out.append(text[last : at[s["first"]][0]])
