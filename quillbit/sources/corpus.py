@@ -92,9 +92,12 @@ def random_code_points(spark: SparkSession, n: int, start: int, stop: int, seed:
     """(pos, cp) of ``n`` code points drawn uniformly from start..stop, surrogates left out."""
     gap = max(0, min(stop, 0xDFFF) - max(start, 0xD800) + 1)
     width = stop - start + 1 - gap
-    at = F.floor(F.rand(seed) * width).cast("int") + start
-    cp = F.when((at >= 0xD800) & (F.lit(start) < 0xD800) & F.lit(gap > 0), at + gap).otherwise(at) if gap else at
-    return spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).select(F.col("id").alias("pos"), cp.alias("cp"))
+    drawn = spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).select(
+        F.col("id").alias("pos"), (F.floor(F.rand(seed) * width).cast("int") + start).alias("at")
+    )
+    # drawn from a range without the gap, then moved past it
+    cp = F.when(F.col("at") >= max(start, 0xD800), F.col("at") + gap).otherwise(F.col("at")) if gap else F.col("at")
+    return drawn.select("pos", cp.alias("cp"))
 
 
 def text_of_code_points(cps: Column) -> Column:
