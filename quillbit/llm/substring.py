@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.windows import WordHashes, chosen, covered, mix, rolling, runs, slide, split
-from quillbit.plans.storage import materialise, small_side
+from quillbit.llm.windows import HASHES, chosen, covered, mix, rolling, runs, slide, split
+from quillbit.plans.storage import materialise, small_side, smaller_batches
 
 ANCHOR = 8
 ROWS = 2
 SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
 SEGMENT_BITS = 20
-FLUSH = 1 << 20
+FLUSH = 1 << 17
 
 
 def cells_for(total_bytes: int, max_cells: int) -> int:
@@ -89,10 +89,10 @@ def _groups(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _sketch(size: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        held, n = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                values, minima = _anchors(hashes.of(split(text)), size)
+                values, minima = _anchors(HASHES.of(split(text)), size)
                 got = chosen(values, minima, len(values) - len(minima) + 1) if len(minima) else minima
                 if len(got):
                     held.append(got)
@@ -101,6 +101,7 @@ def _sketch(size: int, cells: int):
                     yield from _sketch_rows(held, cells)
                     held, n = [], 0
         yield from _sketch_rows(held, cells)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -226,10 +227,10 @@ class _Held:
 
 def _candidates(size: int, table, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, bits = WordHashes(), _Held(buckets), table.value
+        held, bits = _Held(buckets), table.value
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = hashes.of(split(text))
+                words = HASHES.of(split(text))
                 _, minima = _anchors(words, size)
                 if not len(minima):
                     continue
@@ -241,6 +242,7 @@ def _candidates(size: int, table, buckets: int):
                 if held.n >= FLUSH:
                     yield from held.flush()
         yield from held.flush()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -276,9 +278,10 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(row)
     if rows:
         yield from done()
+    pa.default_memory_pool().release_unused()
 
 
-def repeated_runs(docs: DataFrame, text: str, size: int, max_cells: int, buckets_per_partition: int = 4) -> DataFrame:
+def repeated_runs(docs: DataFrame, text: str, size: int, max_cells: int, buckets_per_partition: int = 2) -> DataFrame:
     """(key, runs): by MD5 of the text, the runs of repeated windows in it."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -297,6 +300,7 @@ def remove_repeats(
     docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 35, max_cells: int = 1 << 30
 ) -> DataFrame:
     """(key, n_words, n_removed, kept): each text without the words of repeated windows."""
+    smaller_batches(docs.sparkSession)
     found = materialise(repeated_runs(docs, text, size, max_cells), "runs")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")

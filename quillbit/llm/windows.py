@@ -8,7 +8,7 @@ import xxhash
 #: Fixed odd multipliers of the rolling hashes.
 BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157))
 #: Distinct words whose hashes a worker keeps; it starts anew beyond them.
-CACHE = 1 << 20
+CACHE = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -56,6 +56,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: One for all tasks of a worker: words recur from task to task.
+HASHES = WordHashes()
+
+
 def split(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``: what lies between ASCII white space."""
     return (text or "").encode("utf-8", "surrogatepass").split()
