@@ -73,6 +73,8 @@ class Encoder:
     def narrow(self, lo: int, hi: int, total: int) -> None:
         if self.trace is not None:
             self.trace.append((lo, hi, total))
+        if hi <= lo:
+            raise ValueError("a symbol without mass cannot be coded")
         unit = self.width // total
         start = unit * lo
         self.low += start

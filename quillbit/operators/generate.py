@@ -61,6 +61,8 @@ def adversarial(spec: ModelSpec, n: int, alphabet: list[int], train: list[int] |
 
 def costs(alphabet: list[int], stack: list) -> dict[int, float]:
     """Bits of every symbol of an alphabet as the model stands; coding does not change it."""
+    if hasattr(stack[-1], "masses"):
+        return {x: -math.log2(p) if p > 0 else math.inf for x, p in stack[-1].masses(alphabet).items()}
     out = {}
     for x in alphabet:
         coder = Encoder(BitCounter())

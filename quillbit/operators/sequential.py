@@ -370,6 +370,22 @@ class PPM:
             node = node.shorter
         return self.base.decode(coder, excluded)
 
+    def masses(self, alphabet: list[int]) -> dict[int, float]:
+        """What the coder would give each symbol, in one walk over the contexts."""
+        out: dict[int, float] = {}
+        left, excluded, node = 1.0, set(), self.at
+        while node is not None:
+            if node.counts:
+                rows, new = self._parts(node, excluded)
+                if rows:
+                    total = sum(w for _, w in rows) + new
+                    out.update((s, left * w / total) for s, w in rows)
+                    left *= new / total
+                excluded |= node.counts.keys()
+            node = node.shorter
+        rest = 1.0 - sum(map(self.base.mass, excluded))
+        return {x: out[x] if x in out else left * self.base.mass(x) / rest for x in alphabet}
+
     def learn(self, x: int) -> None:
         node = self.at
         while node is not None:

@@ -113,3 +113,21 @@ def test_specifications():
     assert all(named(n) for n in grid_names())
     assert not [n for n in grid_names() if n.endswith("_lzw_byte") and not n.startswith("none")]
     assert set(LAYERS) == {"crp", "ppm", "lzw", "lzwEscape"}
+
+
+def test_symbols_without_mass_are_refused():
+    with pytest.raises(ValueError):
+        measure(b"ab ab ab", parse("ppm:d=2:a=0.5:b=1", "uniform_byte"))
+
+
+def test_masses_of_ppm_are_what_is_coded():
+    model = M.PPM(M.Uniform(257), 2, Fraction(1, 10), Fraction(1, 2))
+    for x in b"abcabdabe":
+        model.learn(x)
+    found = model.masses(list(range(257)))
+    assert math.isclose(sum(found.values()), 1.0, rel_tol=1e-9)
+    for x in (97, 98, 99, 0):
+        coder = C.Encoder(C.BitCounter())
+        coder.trace = []
+        model.encode(x, coder)
+        assert math.isclose(found[x], math.prod((b - a) / t for a, b, t in coder.trace), rel_tol=1e-9)
