@@ -47,7 +47,7 @@ def language_subset(docs: DataFrame, quota: DataFrame, group: str = "lang", text
     """For every group of ``quota`` (group, hits) its first ``hits`` documents by MD5."""
     ranked = docs.select(group, key, F.md5(text).alias("digest"))
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy("digest", key)))
-    return ranked.join(F.broadcast(quota.select(group, "hits")), group).where(F.col("rank") <= F.col("hits"))
+    return ranked.join(quota.select(group, "hits"), group).where(F.col("rank") <= F.col("hits"))
 
 
 def reservoir_one(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
