@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbit.llm.components import connected_components
+from quillbit.llm.near import numbered, survivors
 from quillbit.plans.storage import materialise, small_side
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -139,13 +140,10 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose key is the smallest of their component, one row each."""
-    found = near_duplicates(docs, text, key)
-    kept = materialise(
-        found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct(), "kept"
-    )
-    rows = docs.join(small_side(kept), F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = materialise(docs.groupBy(key).count().where("count > 1").select(F.col(key).alias("__kept")), "repeated")
-    single = rows.join(small_side(repeated), F.col(key).eqNullSafe(F.col("__kept")), "left_anti")
-    several = rows.join(small_side(repeated), F.col(key).eqNullSafe(F.col("__kept")), "left_semi")
-    return single.unionByName(several.dropDuplicates([key]))
+    """One row of each component of ``docs``: smallest key, then text digest, then row number."""
+    rows = numbered(docs)
+    prints = materialise(rows.select("__row", fingerprint_column(F.col(text)).alias("fp")), "prints")
+    groups = materialise(prints.select("fp").distinct(), "fingerprints")
+    parts = connected_components(materialise(hamming_links(groups), "links"))
+    labels = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
+    return survivors(rows, prints.join(small_side(materialise(labels, "labels")), "fp").select("__row", "component"), text, key)
