@@ -170,6 +170,14 @@ def token_text(kind: Column, cp: Column, length: Column) -> Column:
     )
 
 
+def token_name(kind: str, cp: int | None = None, length: int | None = None) -> str:
+    """The same for one token on the driver."""
+    if kind == "overlong":
+        return f"Overlong({cp:X}, {length})"
+    form = {"char": "UnicodeCharacter({:X})", "surrogate": "SurrogateCodePoint({:X})", "too_high": "TooHigh({:X})", "illegal": "IllegalByte({:02X})"}
+    return form[kind].format(cp) if kind in form else "EOF"
+
+
 # --- bytes that may be malformed -----------------------------------------------------
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.plans.storage import materialise
+from quillbit.plans.storage import drop, materialise, measured
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,8 +20,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = links.select("a", "b").where("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     ).distinct()
-    edges = materialise(edges, "edges")
-    before = None
+    edges, before = materialise(edges, "edges"), None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,13 +29,12 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = (
             large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        edges = materialise(small, "edges")
-        now = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if (now["n"], now["s"]) == before:
+        last, edges = edges, materialise(small, "edges", digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        now = measured(edges)["rows"], measured(edges)["digest"]
+        drop(last)
+        if now == before:
             break
-        before = (now["n"], now["s"])
+        before = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select("v").distinct().select(F.col("v").alias("u"), "v")

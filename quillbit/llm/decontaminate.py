@@ -7,16 +7,19 @@ of fewer words, but not none, is one window. A document word inside any occurren
 of a window is hit; a document is contaminated when it has hits and they are at
 least ``share`` of its words.
 
-Plan: the windows are broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark
-text, so the broadcast never grows with the benchmark; a larger benchmark takes more
-blocks, each of which adds to the columns of the one before without a shuffle. In a
-block the words of the benchmark are numbered; a document position can only begin a
-window where all its words are known, so most positions cost one dictionary look-up.
-Hash hits are verified because the set holds the word numbers themselves.
+Plan: the windows are broadcast in blocks of at most ``BLOCK_BYTES`` of benchmark text.
+A block keeps for each window a 64-bit hash, its place in the block's words and its item
+in sorted arrays (16 bytes a window, and the text itself), so a block of 4 MB takes some
+25 MB of a worker. A document is cut into words once; the hashes of its windows are looked
+up as an array, first in a bit table, then by binary search, and a hit is verified by
+comparing the words. One broadcast lives at a time: the first block is scanned with the
+documents, every further block is a job that stores what it finds by text digest and then
+destroys its broadcast; what they found is joined to the documents at the end. No
+shuffle where the benchmark fits one block.
 
 Defined results: null or blank texts have no words and no hits, and are never
 contaminated; items without words match nothing; repeated items with one item_id
-count once; extra columns are ignored.
+count once; extra columns are kept, one named like the added column is replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.windows import runs
+from quillbit.llm.windows import HASHES, rolling
+from quillbit.plans.storage import materialise, new_path, small_side
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 RESULT = "n_words long, spans array<struct<first:long,count:long>>, items array<string>"
 
 
@@ -42,40 +46,60 @@ def normalise(text: str | None) -> list[str]:
 
 
 class NgramSet:
-    """The windows of one block of items: word numbers, and by window the items that have it."""
+    """The windows of one block of items, by the number of their words."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.size, self.words, self.windows = size, {}, {}
-        for item, text in items:
-            seen = [self.words.setdefault(w, len(self.words) + 1) for w in normalise(text)]
-            if seen:
-                n = min(size, len(seen))
-                for i in range(len(seen) - n + 1):
-                    self.windows.setdefault(tuple(seen[i : i + n]), set()).add(item)
-        self.lengths = sorted({len(w) for w in self.windows})
-        self.starts = {n: {w[0] for w in self.windows if len(w) == n} for n in self.lengths}
-
-    def find(self, words: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
+        self.size, self.names = size, [name for name, _ in items]
+        words: list[bytes] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for item, (_, text) in enumerate(items):
+            own = _bytes(text)
+            if own:
+                n = min(size, len(own))
+                hashes = rolling(HASHES.of(own), n)
+                at = np.arange(len(words), len(words) + len(hashes), dtype=np.uint32)
+                held.setdefault(n, []).append((hashes, at, np.full(len(at), item, dtype=np.uint32)))
+                words += own
+        self.text = b"\0".join(words) + b"\0"
+        self.offsets = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words], dtype=np.int64)])
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in sorted(held.items()):
+            hashes, at, item = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, at, item = hashes[order], at[order], item[order]
+            bits = np.zeros(1 << max(10, min(24, 4 + len(hashes).bit_length())), dtype=bool)
+            bits[hashes & np.uint64(len(bits) - 1)] = True
+            self.tables[n] = hashes, at, item, bits
+
+    def window(self, at: int, n: int) -> bytes:
+        return self.text[self.offsets[at] : self.offsets[at + n]]
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """(start, length) of every occurrence, and the items met."""
-        known = np.fromiter((self.words.get(w, 0) for w in words), dtype=np.int64, count=len(words))
         hits: list[tuple[int, int]] = []
         items: set[str] = set()
-        at = np.flatnonzero(known)
-        if not len(at):
-            return hits, items
-        for first, count in runs(at).tolist():
-            if count < self.lengths[0]:
+        own = HASHES.of(words) if words and self.tables else None
+        for n, (hashes, places, item, bits) in self.tables.items():
+            if len(words) < n:
                 continue
-            part = known[first : first + count].tolist()
-            for n in self.lengths:
-                begins = self.starts[n]
-                for i in range(count - n + 1):
-                    if part[i] in begins and (got := self.windows.get(tuple(part[i : i + n]))):
-                        hits.append((first + i, n))
-                        items |= got
+            seen = rolling(own, n)
+            maybe = np.flatnonzero(bits[seen & np.uint64(len(bits) - 1)])
+            low, high = np.searchsorted(hashes, seen[maybe], "left"), np.searchsorted(hashes, seen[maybe], "right")
+            met = np.flatnonzero(high > low)
+            for start, a, b in zip(maybe[met].tolist(), low[met].tolist(), high[met].tolist(), strict=True):
+                said = b"\0".join(words[start : start + n]) + b"\0"
+                same = {self.names[item[i]] for i in range(a, b) if self.window(int(places[i]), n) == said}
+                if same:
+                    hits.append((start, n))
+                    items |= same
         return hits, items
 
 
+def _bytes(text: str | None) -> list[bytes]:
+    """The words as UTF-8 (lone surrogates kept apart); no word holds the byte zero."""
+    return [w.encode("utf-8", "surrogatepass") for w in normalise(text)]
+
+
 def merge_spans(hits: list[tuple[int, int]]) -> list[dict]:
     """Occurrences as disjoint ascending spans."""
     out: list[list[int]] = []
@@ -100,42 +124,68 @@ def blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> Iterator[l
     yield held
 
 
-FOUND_TYPE = "struct<n_words:long,spans:array<struct<first:long,count:long>>,items:array<string>>"
+def _scan(shared, text: F.Column) -> F.Column:
+    """What one block finds in each text."""
 
+    @F.pandas_udf(RESULT)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = _bytes(text)
+                hits, items = table.find(words)
+                out.append((len(words), merge_spans(hits), sorted(items)))
+            yield pd.DataFrame(out, columns=["n_words", "spans", "items"])
 
-def _scan(spark, items: list[tuple[str, str]], size: int, text: F.Column, before: F.Column | None) -> F.Column:
-    """What one block finds, joined to what the blocks before have found."""
-    shared = spark.sparkContext.broadcast(NgramSet(items, size))
+    return scan(text)
 
-    def one(words: list[str], spans, names) -> tuple:
-        table = shared.value
-        hits, found = table.find(words) if table.windows else ([], set())
-        return len(words), merge_spans(hits + [(s["first"], s["count"]) for s in spans]), sorted(found.union(names))
 
-    def frame(rows) -> pd.DataFrame:
-        return pd.DataFrame(list(rows), columns=["n_words", "spans", "items"])
+def _merged(first: F.Column, spans: F.Column, items: F.Column) -> F.Column:
+    """What the first block found and what the others did (lists of spans and items, or null)."""
 
     @F.pandas_udf(RESULT)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield frame(one(normalise(t), (), ()) for t in texts)
+    def merge(first: pd.DataFrame, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
+        out = []
+        for n, own, met, more, names in zip(first["n_words"], first["spans"], first["items"], spans, items, strict=True):
+            hits = [(int(s["first"]), int(s["count"])) for part in (own, *(more if more is not None else ())) for s in part]
+            out.append((n, merge_spans(hits), sorted({*met, *(x for part in (names if names is not None else ()) for x in part)})))
+        return pd.DataFrame(out, columns=["n_words", "spans", "items"])
+
+    return merge(first, spans, items)
 
-    @F.pandas_udf(RESULT)
-    def scan_on(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans, names in batches:
-            yield frame(one(normalise(t), s, i) for t, s, i in zip(texts, spans, names, strict=True))
 
-    return scan(text) if before is None else scan_on(text, before["spans"], before["items"])
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", size: int = 13, column: str = "__found",
                        item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with struct(n_words, spans, items) in ``column``: word spans hit and items met, for the whole benchmark."""
-    found = None
-    for held in blocks(benchmark, item, item_text, block_bytes):
-        scan = _scan(docs.sparkSession, held, size, F.col(text), None if found is None else F.col(column)).cast(FOUND_TYPE)
-        docs, found = docs.withColumn(column, scan), True
-    return docs
+    spark = docs.sparkSession
+    parts = blocks(benchmark, item, item_text, block_bytes)
+    first = spark.sparkContext.broadcast(NgramSet(next(parts), size))
+    path = None
+    for held in parts:
+        shared = spark.sparkContext.broadcast(NgramSet(held, size))
+        texts = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text)).alias("digest"), _scan(shared, F.col(text)).alias("f"))
+        path = path or new_path(spark, "hits")
+        texts.where(F.size("f.items") > 0).select("digest", "f.spans", "f.items").write.mode("append").parquet(path)
+        shared.destroy()
+    found = docs.withColumn(column, _scan(first, F.col(text)))
+    if path is None:
+        return found
+    hits = spark.read.schema(f"digest string, {RESULT.partition(',')[2]}").parquet(path)
+    # copies of a text find the same: one set for each block and digest
+    merged = materialise(hits.groupBy("digest").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items")), "hits")
+    digest, spans, items = (free_name(found, n) for n in ("__digest", "__spans", "__items"))
+    side = small_side(merged).select(F.col("digest").alias(digest), F.col("spans").alias(spans), F.col("items").alias(items))
+    joined = found.withColumn(digest, F.md5(F.col(text))).join(side, digest, "left")
+    return joined.withColumn(column, _merged(F.col(column), F.col(spans), F.col(items))).select(*found.columns)
 
 
 def n_hit(found: F.Column) -> F.Column:
@@ -153,15 +203,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", act
     Cutting rewrites a contaminated text as the rest of it: from the first character
     of a hit word to the last one of its span; other documents stay as they are.
     """
-    found = with_contamination(docs, benchmark, text, size)
+    column = free_name(docs, "__found")
+    found = with_contamination(docs, benchmark, text, size, column)
     if action == "drop":
-        return found.where(~is_contaminated(F.col("__found"), inverse_share)).select(*docs.columns)
+        return found.where(~is_contaminated(F.col(column), inverse_share)).select(*docs.columns)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([_without(t, s) for t, s in zip(texts, spans, strict=True)])
 
-    new = F.when(is_contaminated(F.col("__found"), inverse_share), cut(F.col(text), F.col("__found.spans"))).otherwise(F.col(text))
+    new = F.when(is_contaminated(F.col(column), inverse_share), cut(F.col(text), F.col(column)["spans"])).otherwise(F.col(text))
     return found.withColumn(text, new).select(*docs.columns)
 
 

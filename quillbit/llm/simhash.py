@@ -3,8 +3,7 @@
 A text is lower-cased (A-Z only), cut into words ``[^\\x20\\x09-\\x0D]+`` and
 word shingles (repeats included). Every shingle's XXH64 (UTF-8, seed 42) votes on
 64 bits; a bit of the fingerprint is set when more than half of the hashes set it.
-Texts are linked when their fingerprints differ in at most ``radius`` bits, and a
-component is labelled by the smallest ``doc_id`` in it.
+Texts are linked when their fingerprints differ in at most two bits, and a component is labelled by the smallest ``doc_id`` in it.
 
 Plan. Equal fingerprints collapse first, so a group of copies of any size is one
 row. Distinct fingerprints are indexed by two 32-bit segments. If two fingerprints
@@ -141,9 +140,10 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of each component of ``docs``: smallest key, then text digest, then row number."""
-    rows = numbered(docs)
-    prints = materialise(rows.select("__row", fingerprint_column(F.col(text)).alias("fp")), "prints")
+    rows, names = numbered(docs)
+    prints = materialise(rows.select("__row", fingerprint_column(F.col(names[text])).alias("fp")), "prints")
     groups = materialise(prints.select("fp").distinct(), "fingerprints")
     parts = connected_components(materialise(hamming_links(groups), "links"))
     labels = groups.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
-    return survivors(rows, prints.join(small_side(materialise(labels, "labels")), "fp").select("__row", "component"), text, key)
+    parts = prints.join(small_side(materialise(labels, "labels")), "fp").select("__row", "component")
+    return survivors(rows, parts, names[text], names[key]).toDF(*docs.columns)

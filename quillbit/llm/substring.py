@@ -10,13 +10,17 @@ Plan: a count-min prefilter, then exact grouping of what it lets through.
    ``ANCHOR`` words. Equal windows have equal anchors at different positions, so a
    window that repeats has an anchor value that was selected at least twice; there
    are about a twelfth as many anchors as windows. Every partition builds a sparse
-   count-min sketch (two rows, counts saturating at two) of its selected anchors;
+   count-min sketch (two rows, counts saturating at ``HOT``) of its selected anchors;
    sketches are merged segment by segment. The width follows the input
    (eight cells for each expected anchor) up to ``max_cells``; a sketch only ever
    overestimates, so a narrower one passes more windows and never loses any.
 2. A second scan emits only windows whose anchor is estimated twice or more. They
-   are first grouped within the partition, so a passage that occurs a million times
-   is sent once by each task, and then exactly, by 128-bit hashes, in buckets.
+   are first grouped within the task, so a passage that occurs a million times
+   is sent once by each task, and then exactly, by 128-bit hashes, in buckets. A bucket
+   follows the anchor, which keeps the windows of a passage together; where the anchor is
+   estimated ``HOT`` times or more it follows the hash of the window, so a phrase that a
+   third of all texts have is spread over all buckets. Both choices are functions of the
+   window alone, so equal windows always meet. Buckets follow the input's size.
 3. Repeated positions return as runs by text digest; the last scan joins them
    (broadcast if their checked size allows, else by a shuffle) and drops the words.
 
@@ -27,22 +31,28 @@ nothing; repeated rows are copies of each other; extra columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbit.llm.windows import HASHES, chosen, covered, mix, rolling, runs, slide, split
-from quillbit.plans.storage import materialise, small_side, smaller_batches
+from quillbit.plans.storage import drop, materialise, small_side, smaller_batches
 
 ANCHOR = 8
 ROWS = 2
 SALTS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47))
 SEGMENT_BITS = 20
 FLUSH = 1 << 17
+#: Occurrences from which an anchor's windows are dealt by their own hash.
+HOT = 32
+#: Bytes of text whose windows make a bucket, and whose windows make a task of the exact pass.
+BUCKET_BYTES, TASK_BYTES = 4 << 20, 32 << 20
+#: Texts that are cut at a time.
+SLICE = 256
 
 
 def cells_for(total_bytes: int, max_cells: int) -> int:
@@ -62,7 +72,8 @@ def _anchors(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values, slide(values, size - piece + 1, np.minimum) if len(words) >= size else values[:0]
 
 
-SKETCH = pa.schema([("row", pa.int32()), ("segment", pa.int32()), ("ones", pa.binary()), ("twos", pa.binary())])
+SKETCH = pa.schema([("row", pa.int32()), ("segment", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary())])
+MERGED = pa.schema([("row", pa.int32()), ("segment", pa.int32()), ("twice", pa.binary()), ("hot", pa.binary())])
 
 
 def _sketch_rows(anchors: list[np.ndarray], cells: int) -> Iterator[pa.RecordBatch]:
@@ -74,8 +85,7 @@ def _sketch_rows(anchors: list[np.ndarray], cells: int) -> Iterator[pa.RecordBat
         segment, offset = at >> SEGMENT_BITS, (at & ((1 << SEGMENT_BITS) - 1)).astype(np.uint32)
         out: list[list] = [[], [], [], []]
         for s, lo, hi in _groups(segment):
-            few = count[lo:hi] == 1
-            for column, value in zip(out, (row, s, offset[lo:hi][few].tobytes(), offset[lo:hi][~few].tobytes()), strict=True):
+            for column, value in zip(out, (row, s, offset[lo:hi].tobytes(), np.minimum(count[lo:hi], HOT).astype(np.uint8).tobytes()), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, SKETCH, strict=True)], schema=SKETCH)
 
@@ -101,62 +111,67 @@ def _sketch(size: int, cells: int):
                     yield from _sketch_rows(held, cells)
                     held, n = [], 0
         yield from _sketch_rows(held, cells)
-        pa.default_memory_pool().release_unused()
+        _release()
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sum partition sketches; rows of one segment arrive together. Gives the cells that reach two, as bits."""
-    schema = pa.schema([("row", pa.int32()), ("segment", pa.int32()), ("bits", pa.binary())])
+    """Sum partition sketches; rows of one segment arrive together. Gives the cells that reach two, and ``HOT``, as bits."""
     now, counts = None, None
 
     def done():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())],
-            schema=schema,
-        )
+        bits = [np.packbits(counts >= n).tobytes() for n in (2, HOT)]
+        return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((*now, *bits), MERGED, strict=True)], schema=MERGED)
 
     for batch in batches:
-        for row, segment, ones, twos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row, segment, cells, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (row, segment) != now:
                 if now:
                     yield done()
                 now, counts = (row, segment), np.zeros(1 << SEGMENT_BITS, dtype=np.uint8)
-            at = np.frombuffer(ones, dtype=np.uint32)
-            counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[np.frombuffer(twos, dtype=np.uint32)] = 2
+            at = np.frombuffer(cells, dtype=np.uint32)
+            counts[at] = np.minimum(counts[at] + np.frombuffer(more, dtype=np.uint8), HOT)
     if now:
         yield done()
 
 
 def repeated_cells(docs: DataFrame, size: int, cells: int) -> np.ndarray:
-    """For each sketch row the bits of cells that were counted twice or more, of ``cells`` bits."""
-    spark = docs.sparkSession
-    parts = docs.mapInArrow(_sketch(size, cells), "row int, segment int, ones binary, twos binary")
+    """Bits of the cells counted twice or more, for each row of the sketch, and of those counted ``HOT`` times in the first."""
+    parts = docs.mapInArrow(_sketch(size, cells), "row int, segment int, cells binary, counts binary")
     merged = (
         parts.repartition("row", "segment")
         .sortWithinPartitions("row", "segment")
-        .mapInArrow(_merge, "row int, segment int, bits binary")
+        .mapInArrow(_merge, "row int, segment int, twice binary, hot binary")
     )
-    table = np.zeros((ROWS, cells >> 3), dtype=np.uint8)
+    table = np.zeros((ROWS + 1, cells >> 3), dtype=np.uint8)
     width = 1 << (SEGMENT_BITS - 3)
     stored = materialise(merged, "sketch")
-    for r in stored.toLocalIterator():
-        table[r["row"], r["segment"] * width : (r["segment"] + 1) * width] = np.frombuffer(r["bits"], dtype=np.uint8)
-    del spark
+    for r in stored.select("row", "segment", "twice", F.when(F.col("row") == 0, F.col("hot")).alias("hot")).toLocalIterator():
+        at = slice(r["segment"] * width, (r["segment"] + 1) * width)
+        table[r["row"], at] = np.frombuffer(r["twice"], dtype=np.uint8)
+        if r["row"] == 0:
+            table[ROWS, at] = np.frombuffer(r["hot"], dtype=np.uint8)
+    drop(stored)
     return table
 
 
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _estimated_twice(table: np.ndarray, anchors: np.ndarray) -> np.ndarray:
     cells = table.shape[1] << 3
     ok = np.ones(len(anchors), dtype=bool)
     for row in range(ROWS):
-        at = _cells(anchors, row, cells)
-        ok &= (table[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        ok &= _bit(table[row], _cells(anchors, row, cells))
     return ok
 
 
+def _hot(table: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    return _bit(table[ROWS], _cells(anchors, 0, table.shape[1] << 3))
+
+
 FOUND = "bucket int, keys binary, first binary, second binary, many binary, doc binary, pos binary"
 FOUND_ARROW = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("keys", "first", "second", "many", "doc", "pos")])
 RUNS_ARROW = pa.schema([("key", pa.binary()), ("runs", pa.binary())])
@@ -175,8 +190,8 @@ def _by_key(keys: list[bytes], doc: np.ndarray, pos: np.ndarray) -> tuple[list[b
 class _Held:
     """Windows that passed the filter, until they are grouped and sent."""
 
-    def __init__(self, buckets: int):
-        self.buckets = buckets
+    def __init__(self, buckets: int, table: np.ndarray):
+        self.buckets, self.table = buckets, table
         self.clear()
 
     def clear(self) -> None:
@@ -196,7 +211,8 @@ class _Held:
         if not self.n:
             return
         first, second, anchor, pos, doc = (np.concatenate(c) for c in zip(*self.rows, strict=True))
-        bucket = (mix(anchor ^ SALTS[0]) % np.uint64(self.buckets)).astype(np.int32)
+        own = np.where(_hot(self.table, anchor), first, anchor)
+        bucket = (mix(own ^ SALTS[0]) % np.uint64(self.buckets)).astype(np.int32)
         order = np.lexsort((second, first, bucket))
         first, second, pos, doc, bucket = first[order], second[order], pos[order], doc[order], bucket[order]
         new = np.ones(len(first), dtype=bool)
@@ -227,7 +243,8 @@ class _Held:
 
 def _candidates(size: int, table, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bits = _Held(buckets), table.value
+        bits = table.value
+        held = _Held(buckets, bits)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = HASHES.of(split(text))
@@ -242,7 +259,7 @@ def _candidates(size: int, table, buckets: int):
                 if held.n >= FLUSH:
                     yield from held.flush()
         yield from held.flush()
-        pa.default_memory_pool().release_unused()
+        _release()
 
     return run
 
@@ -278,47 +295,71 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(row)
     if rows:
         yield from done()
-    pa.default_memory_pool().release_unused()
+    _release()
 
 
-def repeated_runs(docs: DataFrame, text: str, size: int, max_cells: int, buckets_per_partition: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, text: str, size: int, max_cells: int) -> DataFrame:
     """(key, runs): by MD5 of the text, the runs of repeated windows in it."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(whole.alias("text"))
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     table = spark.sparkContext.broadcast(repeated_cells(texts, size, cells_for(total, max_cells)))
-    buckets = buckets_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(2 * tasks, total // BUCKET_BYTES)
     keyed = docs.select(F.unhex(F.md5(whole)).alias("key"), whole.alias("text"))
     found = materialise(keyed.mapInArrow(_candidates(size, table, buckets), FOUND), "windows")
+    table.destroy()
     near = found.where("bucket < 0").select(F.col("keys").alias("key"), F.col("first").alias("runs"))
-    far = found.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_exact, "key binary, runs binary")
-    return near.unionByName(far).groupBy("key").agg(F.collect_set("runs").alias("runs"))
+    far = found.where("bucket >= 0")
+    far = far.repartition(total // TASK_BYTES, "bucket") if total // TASK_BYTES > tasks else far.repartition("bucket")
+    far = far.sortWithinPartitions("bucket").mapInArrow(_exact, "key binary, runs binary")
+    runs_of = materialise(near.unionByName(far).groupBy("key").agg(F.collect_set("runs").alias("runs")), "runs")
+    drop(found)
+    return runs_of
+
+
+def _cut(size: int, schema: pa.Schema):
+    """Texts without the words of repeated windows, a slice of a batch at a time."""
+
+    def one(value: str, span: list[bytes] | None) -> tuple[int, int, str]:
+        words = split(value)
+        n = len(words)
+        if span is not None:
+            both = np.frombuffer(b"".join(span), dtype=np.uint32).reshape(-1, 2).astype(np.int64)
+            gone = covered(both[:, 0], both[:, 1], size, n)
+            words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+        return n, n - len(words), b" ".join(words).decode("utf-8", "replace")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                keys, texts, spans = batch.slice(at, SLICE).columns
+                rows = [one(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)]
+                columns = [keys, *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([schema[0].with_type(keys.type), *list(schema)[1:]]))
+        _release()
+
+    return run
+
+
+def _release() -> None:
+    """Give memory back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def remove_repeats(
     docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 35, max_cells: int = 1 << 30
 ) -> DataFrame:
     """(key, n_words, n_removed, kept): each text without the words of repeated windows."""
-    smaller_batches(docs.sparkSession)
-    found = materialise(repeated_runs(docs, text, size, max_cells), "runs")
-
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in batches:
-            out = []
-            for value, span in zip(texts, spans, strict=True):
-                words = split(value)
-                if span is None:
-                    out.append((len(words), 0, b" ".join(words).decode("utf-8", "replace")))
-                    continue
-                both = np.frombuffer(b"".join(span), dtype=np.uint32).reshape(-1, 2).astype(np.int64)
-                gone = covered(both[:, 0], both[:, 1], size, len(words))
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "replace")))
-            yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
+    with smaller_batches(docs.sparkSession):
+        found = repeated_runs(docs, text, size, max_cells)
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("__key"), whole.alias("__text"), F.unhex(F.md5(whole)).alias("key"))
-    joined = rows.join(small_side(found), "key", "left")
-    return joined.select("__key", cut("__text", "runs").alias("r")).select(F.col("__key").alias(key), "r.n_words", "r.n_removed", "r.kept")
+    joined = rows.join(small_side(found), "key", "left").select("__key", "__text", "runs")
+    kind = f"`{key}` {docs.select(key).schema[0].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    schema = pa.schema([(key, pa.null()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    return joined.mapInArrow(_cut(size, schema), kind)

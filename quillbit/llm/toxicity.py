@@ -12,12 +12,18 @@ toxic among *all* labelled training rows. Features are the lower-cased words of
 their beginnings of ``PREFIXES`` letters and two marks of style (exclamation marks,
 capitals), each present or not; those are kept that are in ``min_texts`` positives and
 whose excess there over the unlabelled texts has a likelihood ratio of ``evidence``.
-The score is the calibrated probability (Platt scaling over labelled rows of the same
-sample). Scoring runs over
-every whole text; labels, language, source and key are never inputs.
+The score is a probability calibrated without negatives: slope and shift of the margin
+minimise the same positive-unlabelled risk, for which the logistic loss is convex
+(``E_U[softplus(f)] - p E_P[f]``); at its minimum the mean score of unlabelled texts is the
+prior. Confirmed rows that are not toxic tell the prior, and stand among the unlabelled.
+Scoring runs over every whole text; labels, language, source and key are never inputs.
+
+Sampled keys bring one text each to the driver (the one whose digest is least), cut off at
+no length; a key that repeats, however often, is one candidate of the sample.
 
 Defined results: null and empty texts score what the model gives a text without
-words; without any confirmed toxic row every score is 0; repeated rows score alike;
+words; without any confirmed toxic row every score is 0; rows of a null key are scored and never
+trained on; a key with several labels is toxic if one says so; repeated rows score alike;
 extra columns are kept by ``without_toxic`` and ignored otherwise.
 """
 
@@ -33,6 +39,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillbit.plans.storage import materialise, small_side
+
 WORD = re.compile(r"[^\W\d_]+")
 CAPITAL = re.compile("[A-Z\u00c0-\u00de]")
 PREFIXES = (4, 5, 6)
@@ -118,7 +126,7 @@ def _ratio(a: int, n: int, b: int, m: int) -> float:
     return 2 * (part(a, n, common) + part(b, m, common))
 
 
-def train(positive: list[str], unlabelled: list[str], labelled: list[tuple[str, int]], prior: float, min_texts: int = 3,
+def train(positive: list[str], unlabelled: list[str], prior: float, min_texts: int = 3,
           evidence: float = 20.0, epochs: int = 300, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Fit by full-batch Adam; deterministic."""
     n, m = len(positive), max(len(unlabelled), 1)
@@ -144,23 +152,29 @@ def train(positive: list[str], unlabelled: list[str], labelled: list[tuple[str,
         delta = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - delta[:-1], b - delta[-1]
     model = Model({k: float(w[i]) for k, i in index.items()}, float(b))
-    if len({y for _, y in labelled}) == 2:
-        model.slope, model.shift = _platt(np.array([model.margin(t) for t, _ in labelled]), np.array([y for _, y in labelled]))
+    model.slope, model.shift = _calibrated(p.dot(w) + b, u.dot(w) + b, prior)
     return model
 
 
-def _platt(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and shift by damped Newton steps, with Platt's smoothed targets."""
-    n1, n0 = int(y.sum()), int((1 - y).sum())
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(float(np.abs(f).max()), 1e-9)
-    x = np.stack([f / scale, np.ones(len(f))], axis=1)
-    a = np.array([1.0, 0.0])
-    for _ in range(100):
-        q = _sigmoid(x @ a)
-        h = (x * (q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (q - t))
-        a = a - step / max(1.0, float(np.abs(step).max()))
+def _calibrated(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift that minimise E_U[softplus(f)] - prior E_P[f], by damped Newton steps; a weak ridge holds the slope."""
+    scale = max(float(np.abs(np.concatenate([fp, fu])).max(initial=0)), 1e-9)
+    xu, xp = (np.stack([f / scale, np.ones(len(f))], axis=1) for f in (fu, fp))
+    if not len(fu):
+        return 1.0, 0.0
+    a, ridge, known = np.array([1.0, 0.0]), np.diag([1e-4, 1e-9]), prior * xp.mean(axis=0)
+
+    def risk(a: np.ndarray) -> float:
+        return float(np.logaddexp(0, xu @ a).mean() - known @ a + 0.5 * a @ ridge @ a)
+
+    for _ in range(200):
+        q = _sigmoid(xu @ a)
+        gradient = xu.T @ q / len(xu) - known + ridge @ a
+        step = np.linalg.solve((xu * (q * (1 - q))[:, None]).T @ xu / len(xu) + ridge, gradient)
+        size = 1.0
+        while risk(a - size * step) > risk(a) and size > 1e-6:
+            size /= 2
+        a = a - size * step
         if np.abs(step).max() < 1e-9:
             break
     return max(float(a[0]) / scale, 1e-6), float(a[1])
@@ -188,17 +202,29 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         use.where("y = 1").orderBy(order).limit(max_positives)
         .unionByName(use.where("y = 0").orderBy(order).limit(max_unlabelled // 2))
     )
-    others = texts.select("k").join(F.broadcast(chosen.select("k")), "k", "left_anti").where("k is not null").distinct()
-    picked = chosen.unionByName(others.orderBy(order).limit(max_unlabelled // 2).select("k", F.lit(None).cast("int").alias("y")))
-    rows = texts.join(F.broadcast(picked), "k").orderBy("k", "t").select("t", "y").collect()
-    positive = [r["t"] for r in rows if r["y"] == 1][:max_positives]
+    chosen = materialise(chosen, "labelled")
+    keys = texts.where("k is not null").join(small_side(chosen).select("k"), "k", "left_anti").select("k", order.alias("h"))
+    keys = materialise(_lowest(keys, max_unlabelled // 2), "others")
+    picked = materialise(chosen.unionByName(keys.select("k", F.lit(None).cast("int").alias("y"))), "picked")
+    # one text for a key: copies of a key would multiply what the driver holds
+    one = texts.join(small_side(picked), "k").groupBy("k", "y").agg(F.min_by("t", F.struct(F.md5("t"), "t")).alias("t"))
+    rows = one.orderBy("k").select("t", "y").collect()
+    positive = [r["t"] for r in rows if r["y"] == 1]
     if not positive:
         return Model({}, -40.0)
     # The unlabelled set stands for the whole corpus: confirmed toxic texts belong to it at their own rate.
     rest = [r["t"] for r in rows if r["y"] != 1]
     prior = min(max(float(stats["prior"] or 0.0), 1e-3), 0.9)
     mixed = positive[: round(prior / (1 - prior) * sum(r["y"] == 0 for r in rows))]
-    return train(positive, rest + mixed, [(r["t"], r["y"]) for r in rows if r["y"] is not None], prior)
+    return train(positive, rest + mixed, prior)
+
+
+def _lowest(keys: DataFrame, n: int) -> DataFrame:
+    """The ``n`` distinct keys (k) of least hash h. A first look at the count tells below which hash they lie, so few are shuffled."""
+    size = keys.agg(F.approx_count_distinct("h", 0.05).alias("n")).first()["n"]
+    share = 2 * n / max(size, 1)
+    few = keys.where(F.col("h") < int(-(1 << 63) + share * (1 << 64))) if share < 0.5 else keys
+    return few.select("k", "h").distinct().orderBy("h").limit(n)
 
 
 def score_column(spark, model: Model, text: F.Column) -> F.Column:
@@ -215,5 +241,4 @@ def score_column(spark, model: Model, text: F.Column) -> F.Column:
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``."""
-    scored = docs.withColumn("__score", score_column(docs.sparkSession, model, F.col(text)))
-    return scored.where(F.col("__score") < threshold).select(*docs.columns)
+    return docs.where(score_column(docs.sparkSession, model, F.col(text)) < threshold)

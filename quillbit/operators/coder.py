@@ -1,8 +1,12 @@
 """Arithmetic coding with integer intervals, and bits in and out.
 
-The coder keeps a low end and a width of 62 bits. Narrowing to (lo, hi, total) gives
-the last symbol what division leaves over; undecided bits are counted and written when
-the carry is known. Python integers make every step exact, so decoding is symmetric.
+A range coder with carries (G. N. N. Martin, Range encoding, 1979; there digits are bytes,
+here any run of bits). The state is the low end of the interval within ``BITS`` bits and
+its width. Narrowing to (lo, hi, total) gives the last symbol what division leaves over;
+then all bits that no longer fit are handed to the sink in one piece, and where the low
+end grew past its bits a carry goes back into what the sink has. The decoder keeps only
+the distance of the code from the low end. Python integers make every step exact, so
+decoding is symmetric.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 BITS = 62
-HALF, QUARTER = 1 << (BITS - 1), 1 << (BITS - 2)
+MASK = (1 << BITS) - 1
 
 
 class BitCounter:
@@ -19,23 +23,34 @@ class BitCounter:
     def __init__(self):
         self.n = 0
 
-    def write(self, bit: int) -> None:
-        self.n += 1
+    def write(self, value: int, count: int = 1) -> None:
+        """Take the ``count`` low bits of ``value``, the highest first."""
+        self.n += count
+
+    def carry(self) -> None:
+        """Add one to what has been written, as a binary number."""
 
 
 class BitBuffer(BitCounter):
-    """Keeps bits; ``bytes`` pads the last one with zeros."""
+    """Keeps bits, in pieces that a carry can still change; ``bytes`` pads the last one with zeros."""
 
     def __init__(self):
         super().__init__()
-        self.bits: list[int] = []
+        self.pieces: list[tuple[int, int]] = []
+
+    def write(self, value: int, count: int = 1) -> None:
+        self.n += count
+        self.pieces.append((value, count))
 
-    def write(self, bit: int) -> None:
-        self.n += 1
-        self.bits.append(bit)
+    def carry(self) -> None:
+        at = len(self.pieces) - 1
+        while self.pieces[at][0] + 1 == 1 << self.pieces[at][1]:
+            self.pieces[at] = 0, self.pieces[at][1]
+            at -= 1
+        self.pieces[at] = self.pieces[at][0] + 1, self.pieces[at][1]
 
     def text(self) -> str:
-        return "".join(map(str, self.bits))
+        return "".join(f"{value:0{count}b}" for value, count in self.pieces)
 
     def __bytes__(self) -> bytes:
         whole = self.text()
@@ -67,7 +82,7 @@ def joined_bits(*parts: Iterable[int]) -> Iterator[int]:
 
 class Encoder:
     def __init__(self, sink: BitCounter):
-        self.sink, self.low, self.width, self.pending = sink, 0, 1 << BITS, 0
+        self.sink, self.low, self.width = sink, 0, 1 << BITS
         self.trace: list[tuple[int, int, int]] | None = None
 
     def narrow(self, lo: int, hi: int, total: int) -> None:
@@ -77,25 +92,17 @@ class Encoder:
             raise ValueError("a symbol without mass cannot be coded")
         unit = self.width // total
         start = unit * lo
-        self.low += start
-        self.width = self.width - start if hi >= total else unit * (hi - lo)
-        while self.width <= QUARTER:
-            if self.low >= HALF:
-                self._put(1)
-                self.low -= HALF
-            elif self.low + self.width <= HALF:
-                self._put(0)
-            else:
-                self.pending += 1
-                self.low -= QUARTER
-            self.low <<= 1
-            self.width <<= 1
-
-    def _put(self, bit: int) -> None:
-        self.sink.write(bit)
-        while self.pending:
-            self.sink.write(1 - bit)
-            self.pending -= 1
+        low = self.low + start
+        width = self.width - start if hi >= total else unit * (hi - lo)
+        if low > MASK:
+            self.sink.carry()
+            low &= MASK
+        spare = BITS - width.bit_length()
+        if spare > 0:
+            self.sink.write(low >> (BITS - spare), spare)
+            low = (low << spare) & MASK
+            width <<= spare
+        self.low, self.width = low, width
 
     def finish(self) -> None:
         """Write the fewest bits whose every continuation lies in the interval."""
@@ -103,41 +110,45 @@ class Encoder:
             step = 1 << (BITS - n)
             value = -(-self.low // step) * step
             if value + step <= self.low + self.width:
-                for shift in range(n):
-                    bit = value >> (BITS - 1 - shift) & 1
-                    self._put(bit)
+                if value > MASK:
+                    self.sink.carry()
+                self.sink.write((value & MASK) >> (BITS - n), n)
                 return
 
 
 class Decoder:
-    def __init__(self, bits: Iterable[int]):
-        self.bits, self.low, self.width = iter(bits), 0, 1 << BITS
-        self.value = 0
-        for _ in range(BITS):
-            self.value = self.value << 1 | self._bit()
-
-    def _bit(self) -> int:
-        return next(self.bits, 0)
+    """Reads what an encoder wrote, from bytes or from bits one by one; zeros follow the end."""
+
+    def __init__(self, source: bytes | Iterable[int]):
+        self.data, self.at = (source, 0) if isinstance(source, bytes) else (None, 0)
+        self.bits = iter(()) if self.data is not None else iter(source)
+        self.width, self.offset = 1 << BITS, self._take(BITS)
+
+    def _take(self, n: int) -> int:
+        if self.data is None:
+            value = 0
+            for _ in range(n):
+                value = value << 1 | next(self.bits, 0)
+            return value
+        first, end = self.at >> 3, self.at + n
+        last = (end + 7) >> 3
+        value = int.from_bytes(self.data[first:last].ljust(last - first, b"\0"), "big")
+        self.at = end
+        return value >> (last * 8 - end) & ((1 << n) - 1)
 
     def target(self, total: int) -> int:
         """Where in 0..total-1 the coded value lies."""
-        return min((self.value - self.low) // (self.width // total), total - 1)
+        return min(self.offset // (self.width // total), total - 1)
 
     def narrow(self, lo: int, hi: int, total: int) -> None:
         unit = self.width // total
         start = unit * lo
-        self.low += start
+        self.offset -= start
         self.width = self.width - start if hi >= total else unit * (hi - lo)
-        while self.width <= QUARTER:
-            if self.low >= HALF:
-                self.low -= HALF
-                self.value -= HALF
-            elif self.low + self.width > HALF:
-                self.low -= QUARTER
-                self.value -= QUARTER
-            self.low <<= 1
-            self.width <<= 1
-            self.value = self.value << 1 | self._bit()
+        spare = BITS - self.width.bit_length()
+        if spare > 0:
+            self.offset = self.offset << spare | self._take(spare)
+            self.width <<= spare
 
 
 #: Total of the intervals that stand for probabilities in double precision.

@@ -68,9 +68,10 @@ def cumulative(hist: DataFrame, order: str, *keys: str) -> DataFrame:
     return hist.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
 
 
-def extreme_symbols(hist: DataFrame, *keys: str, least: bool = False) -> DataFrame:
-    """All most (or least) frequent symbols, ties included."""
+def extreme_symbols(hist: DataFrame, *keys: str, least: bool = False, ties: str = "all", sym: str = "sym", seed: int = 0) -> DataFrame:
+    """The most (or least) frequent symbols: ``all`` of them, the ``first``, or a ``random`` one by a hash of the symbol."""
     from pyspark.sql import Window
 
     order = F.asc("n") if least else F.desc("n")
-    return hist.withColumn("r", F.rank().over(Window.partitionBy(*keys).orderBy(order))).where("r = 1").drop("r")
+    among = {"all": [], "first": [F.col(sym)], "random": [F.xxhash64(sym, F.lit(seed)), F.col(sym)]}[ties]
+    return hist.withColumn("r", F.rank().over(Window.partitionBy(*keys).orderBy(order, *among))).where("r = 1").drop("r")

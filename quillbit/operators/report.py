@@ -50,6 +50,11 @@ def mean_and_error(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), (F.stddev_pop(value) / F.sqrt(F.count(value))).alias("error"))
 
 
+def collected(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, values): the values of each key as a sorted list, for the few repetitions of a measurement."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
 def transfer(scores: DataFrame, trained: str = "training", tested: str = "test") -> DataFrame:
     """What tuned parameters lose on other files: (prior, total, by_depth, by_parameters).
 

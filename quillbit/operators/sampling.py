@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +42,8 @@ def systematic(rows: DataFrame, weight: str, order: list[str], draws: int, start
 
 def proportional_without_replacement(rows: DataFrame, weight: str, k: int, key: str, seed: int = 0) -> DataFrame:
     """``k`` rows drawn one after the other in proportion to weight: the least ``-ln(u) / weight``."""
-    u = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1) / float((1 << 48) + 1)
     return rows.where(F.col(weight) > 0).withColumn("__e", -F.ln(u) / F.col(weight)).orderBy("__e", key).limit(k).drop("__e")
 
 
@@ -59,15 +63,22 @@ def unique_sample(rows: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
 
 
-def categorical(draws: DataFrame, masses: DataFrame, label: str, mass: str, u: str = "u") -> DataFrame:
-    """Each draw ``u`` in [0, 1) with the label whose cumulated mass holds it.
+#: Outcomes that a categorical distribution may have, since all draws carry its table.
+MAX_OUTCOMES = 10_000
+
+
+def categorical(draws: DataFrame, masses: DataFrame, label: str, mass: str, u: str = "u", omit: list | None = None) -> DataFrame:
+    """Each draw ``u`` in [0, 1) with the label whose cumulated mass holds it; labels in ``omit`` are never drawn.
 
-    The table of masses is a small finite distribution; it is looked up as one sorted
-    array, not joined row by row.
+    The table of masses is a finite distribution of a checked size; it becomes a literal
+    in the plan that every draw searches, so there is no join.
     """
-    cum = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, 0)
-    table = masses.select(label, (F.sum(mass).over(cum) / F.sum(mass).over(Window.partitionBy())).alias("c"))
-    rows = table.agg(F.array_sort(F.collect_list(F.struct("c", F.col(label).alias("l")))).alias("t"))
-    hit = F.element_at(F.filter("t", lambda r: r["c"] > F.col(u)), 1)["l"]
-    last = F.element_at("t", -1)["l"]
-    return draws.crossJoin(F.broadcast(rows)).withColumn(label, F.coalesce(hit, last)).drop("t")
+    live = masses.where((F.col(mass) > 0) & ~F.col(label).isin(omit or []))
+    rows = live.select(label, F.col(mass).cast("double").alias("m")).orderBy(label).limit(MAX_OUTCOMES + 1).collect()
+    if not 0 < len(rows) <= MAX_OUTCOMES:
+        raise ValueError(f"a table of 1 to {MAX_OUTCOMES} outcomes with mass is needed")
+    whole = math.fsum(r["m"] for r in rows)
+    upto = [c / whole for c in itertools.accumulate(r["m"] for r in rows)]
+    edges, labels = F.array(*map(F.lit, upto)), F.array(*(F.lit(r[label]) for r in rows))
+    at = F.size(F.filter(edges, lambda c: c <= F.col(u))) + 1
+    return draws.withColumn(label, F.element_at(labels, F.least(at, F.lit(len(rows)))))

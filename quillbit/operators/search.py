@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillbit.operators.report import best_by
+from quillbit.operators.urns import Blending, UrnPPM
 from quillbit.plans.score import measure, raw
 from quillbit.plans.spec import parse
 
@@ -32,25 +33,23 @@ def score_cells(files: DataFrame, cells: DataFrame, base: str, content: str = "c
     """(depth, alpha, beta, efficiency, status): mean bits for each byte over all files, every cell in one job.
 
     ``cells`` is (depth, alpha, beta), a table made by the search and as small as its
-    grid; it is carried to the files as one literal array.
+    grid; its rows go to the files with the function, so a file is moved once and every
+    cell is measured where it lies. Files without content say nothing.
     """
-    rows = cells.collect()
-    table = F.array(*(F.struct(F.lit(int(r["depth"])).alias("depth"), F.lit(float(r["alpha"])).alias("alpha"), F.lit(float(r["beta"])).alias("beta")) for r in rows))
-    work = files.select(F.col(content).alias("content"), F.explode(table).alias("p")).select("content", "p.*").repartition(F.xxhash64("content"), "depth", "alpha", "beta")
-
-    @F.pandas_udf("double")
-    def ratio(contents: pd.Series, depths: pd.Series, alphas: pd.Series, betas: pd.Series) -> pd.Series:
-        out = []
-        for c, d, a, b in zip(contents, depths, alphas, betas, strict=True):
-            data = raw(c)
-            try:
-                fine = data and bool(legal(a, b))
-                out.append(measure(data, parse(f"ppm:d={d}:a={float(a)!r}:b={float(b)!r}", base)) / len(data) if fine else None)
-            except ValueError:  # a discount of one leaves symbols seen once without mass
-                out.append(None)
-        return pd.Series(out, dtype="float64")
-
-    scored = work.withColumn("r", ratio("content", "depth", "alpha", "beta"))
+    rows = [(int(r["depth"]), float(r["alpha"]), float(r["beta"])) for r in cells.collect()]
+
+    def ratio(data: bytes, d: int, a: float, b: float) -> float | None:
+        try:
+            return measure(data, parse(f"ppm:d={d}:a={a!r}:b={b!r}", base)) / len(data) if legal(a, b) else None
+        except ValueError:  # a discount of one leaves symbols seen once without mass
+            return None
+
+    @F.pandas_udf("array<struct<depth:int,alpha:double,beta:double,r:double>>")
+    def ratios(contents: pd.Series) -> pd.Series:
+        return pd.Series([[{"depth": d, "alpha": a, "beta": b, "r": ratio(raw(c), d, a, b)} for d, a, b in rows] for c in contents])
+
+    work = files.select(F.col(content).alias("content")).where(F.octet_length("content") > 0).repartition(F.xxhash64("content"))
+    scored = work.select(F.explode(ratios("content")).alias("c")).select("c.*")
     return scored.groupBy("depth", "alpha", "beta").agg(
         F.when(F.count("r") == F.count("*"), F.avg("r")).alias("efficiency"),
         F.when(F.count("r") == F.count("*"), "ok").otherwise("fail").alias("status"),
@@ -119,6 +118,57 @@ def optimise(spark: SparkSession, files: DataFrame, base: str, depth: int, start
     return {"depth": depth, "alpha": a, "beta": b, "efficiency": best, "status": status}
 
 
+def grid_then_refine(spark: SparkSession, files: DataFrame, base: str, depth: int, a=(0.0, 1.0), b=(0.0, 1.0), steps: int = 5) -> dict:
+    """The best cell of a grid, refined by a simplex from there; the cell itself where that finds nothing better.
+
+    Fewer than two steps begin at strength 0 and discount one half.
+    """
+    start, least = (0.0, 0.5), math.inf
+    if steps > 1:
+        found = contour(spark, files, base, depth, a, b, steps)
+        best = found.where(F.col("efficiency") < math.inf).orderBy("efficiency", "alpha", "beta").first()
+        if best is not None:
+            start, least = (best["alpha"], best["beta"]), best["efficiency"]
+    out = optimise(spark, files, base, depth, start)
+    if out["efficiency"] > least:
+        out |= {"alpha": start[0], "beta": start[1], "efficiency": least, "status": "grid"}
+    return out
+
+
+def optima(spark: SparkSession, files: DataFrame, base: str, depths, a=(0.0, 1.0), b=(0.0, 1.0), steps: int = 5) -> DataFrame:
+    """(depth, alpha, beta, efficiency, status): the optimum of every depth over all files."""
+    rows = [grid_then_refine(spark, files, base, d, a, b, steps) for d in depths]
+    return spark.createDataFrame([tuple(r[k] for k in ("depth", "alpha", "beta", "efficiency", "status")) for r in rows], "depth int, alpha double, beta double, efficiency double, status string")
+
+
+def tuned_urn(data: list[int], base, depth: int, start: tuple[float, float] = (0.0, 0.5), step: float = 1e-4) -> dict:
+    """Strength and discount of a blending context model by conjugate gradients on the bits of a sequence, with error bars.
+
+    Parameters are moved as (log(a + b), logit b), so every point is legal; gradients are
+    differences, and error bars come from the curvature at the optimum.
+    """
+
+    def real(x: list[float]) -> tuple[float, float]:
+        b = 1 / (1 + math.exp(-x[1]))
+        return math.exp(x[0]) - b, b
+
+    def bits(x: list[float]) -> float:
+        return UrnPPM(base, depth, Blending(*real(x))).bits(data)
+
+    def moved(x: list[float], i: int, by: float) -> list[float]:
+        return [v + by * (k == i) for k, v in enumerate(x)]
+
+    def gradient(x: list[float]) -> list[float]:
+        return [(bits(moved(x, i, step)) - bits(moved(x, i, -step))) / (2 * step) for i in range(2)]
+
+    a, b = start
+    point, least = conjugate_gradient(bits, gradient, [math.log(a + b), math.log(b / (1 - b))], most=30, tolerance=1e-6)
+    bend = [(bits(moved(point, i, 0.05)) - 2 * least + bits(moved(point, i, -0.05))) / 0.0025 * math.log(2) for i in range(2)]
+    a, b = real(point)
+    errors = [1 / math.sqrt(c) if c > 0 else math.inf for c in bend]
+    return {"alpha": a, "beta": b, "bits": least, "alpha_error": errors[0] * (a + b), "beta_error": errors[1] * b * (1 - b)}
+
+
 def best_parameters(scored: DataFrame, *keys: str) -> DataFrame:
     """The best (depth, alpha, beta) of each key: least efficiency, first depth among equals."""
     return best_by(scored, "efficiency", ["depth", "alpha", "beta"], ["depth", "alpha", "beta"], *keys)

@@ -15,6 +15,7 @@ from fractions import Fraction
 from quillbit.operators.coder import DOUBLE_TOTAL, Decoder, Encoder, split
 
 NONE: frozenset[int] = frozenset()
+NOTHING: dict[int, int] = {}
 
 
 class Uniform:
@@ -86,99 +87,186 @@ class Weighted:
         pass
 
 
+class Split:
+    """A node of a Polya tree: pseudo-counts, and by side what was learnt there: occurrences, distinct symbols, and the
+    share of the mass that these symbols have."""
+
+    __slots__ = ("a", "b", "gone", "kinds", "level", "n", "unit", "up")
+
+    def __init__(self, prior: tuple[int, int, int], up: tuple[Split, int] | None):
+        self.a, self.b, self.unit = prior
+        self.n, self.kinds, self.gone = [0, 0], [0, 0], [0.0, 0.0]
+        self.up, self.level = up, 0 if up is None else up[0].level + 1
+
+    def weights(self) -> tuple[int, int]:
+        return self.a + self.n[0] * self.unit, self.b + self.n[1] * self.unit
+
+
 class PolyaTree:
     """A binary tree of Beta-Bernoulli nodes over ``range(size)``.
 
     A node over lo..hi splits before ``lo + (hi - lo + 1) // 2``. ``priors`` gives the
-    pseudo-counts (left, right) of a node as integers over a common ``unit``.
+    pseudo-counts (left, right) of a node as integers over a common ``unit``. What is learnt
+    waits until something is coded. Layers above leave the base to new symbols, so the
+    omitted ones are those that were learnt: their share of each node's mass is kept on the
+    nodes, and a new symbol costs one step for each level. Other omissions are summed anew.
     """
 
     def __init__(self, size: int, priors, unit: int):
         self.size, self.priors, self.unit = size, priors, unit
-        self.counts: dict[tuple[int, int], list[int]] = {}
+        self.nodes: dict[tuple[int, int], Split] = {}
         #: By symbol the nodes on its way, with the side taken at each.
-        self.ways: dict[int, list[tuple[list[int], int]]] = {}
+        self.ways: dict[int, list[tuple[Split, int]]] = {}
+        self.waiting: dict[int, int] = {}
+        self.seen: set[int] = set()
+        #: Symbols learnt since shares were last summed.
+        self.stale: set[int] = set()
 
-    def _weights(self, lo: int, hi: int) -> tuple[int, int]:
-        a, b = self.priors(lo, lo + (hi - lo + 1) // 2, hi)
-        seen = self.counts.get((lo, hi))
-        return (a + seen[0] * self.unit, b + seen[1] * self.unit) if seen else (a, b)
+    def _prior(self, lo: int, mid: int, hi: int) -> tuple[int, int, int]:
+        return (*self.priors(lo, mid, hi), self.unit)
+
+    def _node(self, lo: int, mid: int, hi: int, up: tuple[Split, int] | None) -> Split:
+        found = self.nodes.get((lo, hi))
+        if found is None:
+            found = self.nodes[(lo, hi)] = Split(self._prior(lo, mid, hi), up)
+        return found
+
+    def _way(self, x: int) -> list[tuple[Split, int]]:
+        way = self.ways.get(x)
+        if way is None:
+            way, lo, hi, up = [], 0, self.size - 1, None
+            while lo < hi:
+                mid = lo + (hi - lo + 1) // 2
+                side = int(x >= mid)
+                up = self._node(lo, mid, hi, up), side
+                way.append(up)
+                lo, hi = (mid, hi) if side else (lo, mid - 1)
+            self.ways[x] = way
+        return way
+
+    def _settle(self) -> None:
+        """Count what was learnt."""
+        for x, n in self.waiting.items():
+            new = x not in self.seen
+            for node, side in self._way(x):
+                node.n[side] += n
+                node.kinds[side] += new
+            self.seen.add(x)
+            self.stale.add(x)
+        self.waiting.clear()
+
+    def _share(self, lo: int, mid: int, hi: int, node: Split) -> float:
+        """The share of a node's mass that learnt symbols have."""
+        if sum(node.kinds) == hi - lo + 1:
+            return 1.0
+        a, b = node.weights()
+        return (a * node.gone[0] + b * node.gone[1]) / (a + b)
+
+    def _sum_shares(self) -> None:
+        levels: list[dict[tuple[int, int], tuple[int, Split]]] = []
+        for x in self.stale:
+            lo, hi = 0, self.size - 1
+            for depth, (node, side) in enumerate(self._way(x)):
+                if depth == len(levels):
+                    levels.append({})
+                mid = lo + (hi - lo + 1) // 2
+                levels[depth][(lo, hi)] = mid, node
+                lo, hi = (mid, hi) if side else (lo, mid - 1)
+                if lo == hi:
+                    node.gone[side] = 1.0
+        for level in reversed(levels):
+            for (lo, hi), (mid, node) in level.items():
+                if node.up is not None:
+                    up, side = node.up
+                    up.gone[side] = self._share(lo, mid, hi, node)
+        self.stale.clear()
 
     def mass(self, x: int) -> float:
-        lo, hi, p = 0, self.size - 1, 1.0
-        while lo < hi:
-            a, b = self._weights(lo, hi)
-            mid = lo + (hi - lo + 1) // 2
-            if x < mid:
-                p, hi = p * a / (a + b), mid - 1
-            else:
-                p, lo = p * b / (a + b), mid
+        self._settle()
+        p = 1.0
+        for node, side in self._way(x):
+            both = node.weights()
+            p = p * both[side] / sum(both)
         return p
 
-    def _omitted(self, omit: list[int], lo: int, hi: int) -> float:
+    def _omitted(self, omit: list[int], lo: int, hi: int, up=None) -> float:
         """The share of the mass of lo..hi that the omitted symbols in it have."""
         if not omit:
             return 0.0
         if len(omit) == hi - lo + 1:
             return 1.0
-        a, b = self._weights(lo, hi)
         mid = lo + (hi - lo + 1) // 2
-        return (a * self._omitted([o for o in omit if o < mid], lo, mid - 1) + b * self._omitted([o for o in omit if o >= mid], mid, hi)) / (a + b)
+        node = self._node(lo, mid, hi, up)
+        a, b = node.weights()
+        left = self._omitted([o for o in omit if o < mid], lo, mid - 1, (node, 0))
+        return (a * left + b * self._omitted([o for o in omit if o >= mid], mid, hi, (node, 1))) / (a + b)
 
-    def _step(self, lo: int, mid: int, hi: int, omit: list[int]) -> tuple[int, int]:
+    def _step(self, node: Split, sizes: tuple[int, int], kinds, gone) -> tuple[int, int]:
         """(weight of the left side, total) for the coder; a side that is all omitted gets nothing."""
-        a, b = self._weights(lo, hi)
-        if not omit:
+        a, b = node.weights()
+        if not kinds[0] and not kinds[1]:
             return a, a + b
-        left, right = [o for o in omit if o < mid], [o for o in omit if o >= mid]
-        if len(left) == mid - lo:
+        if kinds[0] == sizes[0]:
             return 0, 1
-        if len(right) == hi - mid + 1:
+        if kinds[1] == sizes[1]:
             return 1, 1
-        x, y = a * (1 - self._omitted(left, lo, mid - 1)), b * (1 - self._omitted(right, mid, hi))
+        x, y = a * (1 - gone[0]), b * (1 - gone[1])
         return split(x / (x + y)), DOUBLE_TOTAL
 
-    def encode(self, x: int, coder: Encoder, omit=NONE) -> None:
-        lo, hi, gone = 0, self.size - 1, sorted(omit)
+    def _walk(self, omit, choose) -> int:
+        """Go down by ``choose(left, total, mid)``, which tells the side; gives the symbol."""
+        self._settle()
+        learnt = bool(omit) and omit == self.seen
+        if learnt:
+            self._sum_shares()
+        rest = [] if learnt else sorted(omit)
+        lo, hi, up = 0, self.size - 1, None
         while lo < hi:
             mid = lo + (hi - lo + 1) // 2
-            left, total = self._step(lo, mid, hi, gone)
+            node = self._node(lo, mid, hi, up)
+            if learnt:
+                left, total = self._step(node, (mid - lo, hi - mid + 1), node.kinds, node.gone)
+            elif rest:
+                parts = [o for o in rest if o < mid], [o for o in rest if o >= mid]
+                kinds = tuple(map(len, parts))
+                gone = self._omitted(parts[0], lo, mid - 1, (node, 0)), self._omitted(parts[1], mid, hi, (node, 1))
+                left, total = self._step(node, (mid - lo, hi - mid + 1), kinds, gone)
+            else:
+                a, b = node.weights()
+                left, total = a, a + b
+            side = choose(left, total, mid)
+            if rest:
+                rest = parts[side]
+            up = node, side
+            lo, hi = (mid, hi) if side else (lo, mid - 1)
+        return lo
+
+    def encode(self, x: int, coder: Encoder, omit=NONE) -> None:
+        def choose(left: int, total: int, mid: int) -> int:
             if x < mid:
                 if left < total:
                     coder.narrow(0, left, total)
-                hi, gone = mid - 1, [o for o in gone if o < mid]
-            else:
-                if left:
-                    coder.narrow(left, total, total)
-                lo, gone = mid, [o for o in gone if o >= mid]
+                return 0
+            if left:
+                coder.narrow(left, total, total)
+            return 1
+
+        self._walk(omit, choose)
 
     def decode(self, coder: Decoder, omit=NONE) -> int:
-        lo, hi, gone = 0, self.size - 1, sorted(omit)
-        while lo < hi:
-            mid = lo + (hi - lo + 1) // 2
-            left, total = self._step(lo, mid, hi, gone)
+        def choose(left: int, total: int, mid: int) -> int:
             if left == total or left and coder.target(total) < left:
                 if left < total:
                     coder.narrow(0, left, total)
-                hi, gone = mid - 1, [o for o in gone if o < mid]
-            else:
-                if left:
-                    coder.narrow(left, total, total)
-                lo, gone = mid, [o for o in gone if o >= mid]
-        return lo
+                return 0
+            if left:
+                coder.narrow(left, total, total)
+            return 1
+
+        return self._walk(omit, choose)
 
     def learn(self, x: int) -> None:
-        way = self.ways.get(x)
-        if way is None:
-            way, lo, hi = [], 0, self.size - 1
-            while lo < hi:
-                mid = lo + (hi - lo + 1) // 2
-                side = int(x >= mid)
-                way.append((self.counts.setdefault((lo, hi), [0, 0]), side))
-                lo, hi = (mid, hi) if side else (lo, mid - 1)
-            self.ways[x] = way
-        for seen, side in way:
-            seen[side] += 1
+        self.waiting[x] = self.waiting.get(x, 0) + 1
 
 
 def even_priors(a: Fraction) -> tuple:
@@ -219,10 +307,21 @@ class MassPolyaTree(PolyaTree):
         self._scaled = mass_priors(between, g)
         super().__init__(size, None, 1)
 
-    def _weights(self, lo: int, hi: int) -> tuple[int, int]:
-        a, b, unit = self._scaled(lo, lo + (hi - lo + 1) // 2, hi)
-        seen = self.counts.get((lo, hi))
-        return (a + seen[0] * unit, b + seen[1] * unit) if seen else (a, b)
+    def _prior(self, lo: int, mid: int, hi: int) -> tuple[int, int, int]:
+        return self._scaled(lo, mid, hi)
+
+
+#: Bits of the largest total that a restaurant hands to the coder.
+FINEST = 48
+
+
+def _base_weights(base):
+    """Integer weights of a base: its own where it has some, else its masses in units of the coder's."""
+    if isinstance(base, Uniform):
+        return (lambda x: 1), base.size
+    if isinstance(base, Weighted):
+        return base.weight, base.total
+    return (lambda x: split(base.mass(x))), DOUBLE_TOTAL
 
 
 class CRP:
@@ -242,42 +341,53 @@ class CRP:
         own = c * self.unit - self.b if c else 0
         return (own + new * self.base.mass(x)) / total if total else self.base.mass(x)
 
+    def _weights(self, omit) -> tuple[list[tuple[int, int]], int]:
+        """(symbol, weight) of the dishes that may occur, and the weight of all that may: each dish has its table and
+        its part of what new tables take from the base, as ``mass`` says; the rest of the base is for new dishes."""
+        weight, whole = _base_weights(self.base)
+        live = [(s, c) for s, c in self.counts.items() if s not in omit]
+        new = self.a + self.b * len(live)
+        base = whole - sum(map(weight, omit))
+        rows = [(s, (c * self.unit - self.b) * base + new * weight(s)) for s, c in live]
+        return rows, (sum(c for _, c in live) * self.unit + self.a) * base
+
+    def _steps(self, omit):
+        """(symbol, lo, hi, total) by dish, then for new dishes under None. Totals that would be too fine for the coder
+        lose low bits, and every region keeps at least one unit."""
+        rows, total = self._weights(omit)
+        drop = max(total.bit_length() - FINEST, 0)
+        scaled = (total >> drop) + len(rows) + 1 if drop else total
+        low = at = 0
+        for i, (s, w) in enumerate(rows):
+            low += w
+            end = (low >> drop) + i + 1 if drop else low
+            yield s, at, end, scaled
+            at = end
+        yield None, at, scaled, scaled
+
     def encode(self, x: int, coder: Encoder, omit=NONE) -> None:
-        """A seen symbol is coded from the tables or through the base, whose shares add up in ``mass``; the coder
-        takes the table for seen symbols and leaves the base to new ones."""
-        low = 0
-        total = sum(c * self.unit - self.b for s, c in self.counts.items() if s not in omit)
-        new = self.a + self.b * len(self.counts)
-        if not total:
+        if not self.counts:
             self.base.encode(x, coder, omit)
             return
-        for s, c in self.counts.items():
-            if s in omit:
-                continue
-            width = c * self.unit - self.b
-            if s == x:
-                coder.narrow(low, low + width, total + new)
-                return
-            low += width
-        coder.narrow(total, total + new, total + new)
-        self.base.encode(x, coder, frozenset(omit) | self.counts.keys())
+        for s, lo, hi, total in self._steps(omit):
+            if s == x or s is None:
+                if lo or hi < total:
+                    coder.narrow(lo, hi, total)
+                break
+        if s is None:
+            self.base.encode(x, coder, frozenset(omit) | self.counts.keys())
 
     def decode(self, coder: Decoder, omit=NONE) -> int:
-        total = sum(c * self.unit - self.b for s, c in self.counts.items() if s not in omit)
-        new = self.a + self.b * len(self.counts)
-        if not total:
+        if not self.counts:
             return self.base.decode(coder, omit)
-        target, low = coder.target(total + new), 0
-        for s, c in self.counts.items():
-            if s in omit:
-                continue
-            width = c * self.unit - self.b
-            if target < low + width:
-                coder.narrow(low, low + width, total + new)
-                return s
-            low += width
-        coder.narrow(total, total + new, total + new)
-        return self.base.decode(coder, frozenset(omit) | self.counts.keys())
+        target = None
+        for s, lo, hi, total in self._steps(omit):
+            target = coder.target(total) if target is None else target
+            if target < hi:
+                break
+        if lo or hi < total:
+            coder.narrow(lo, hi, total)
+        return self.base.decode(coder, frozenset(omit) | self.counts.keys()) if s is None else s
 
     def learn(self, x: int) -> None:
         self.counts[x] = self.counts.get(x, 0) + 1
@@ -330,45 +440,88 @@ class PPM:
             rows = [(s, c * unit - b) for s, c in node.counts.items()]
         return rows, a + b * len(rows)
 
+    def _strengths(self, node: Context) -> tuple[int, int, int]:
+        if self.special and node.counts.keys() & self.special[0]:
+            return self.special[1:]
+        return self.a, self.b, self.unit
+
+    def _live(self, node: Context, gone: dict) -> tuple[int, int, int, int]:
+        """(weight of the children that ``gone`` has not excluded, of what is new, strengths' b and unit); no child, no weight.
+
+        A deeper context's children are children here too, so sums are those of all less theirs."""
+        a, b, unit = self._strengths(node)
+        k = len(node.counts) - len(gone)
+        n = node.n - sum(map(node.counts.__getitem__, gone)) if gone else node.n
+        return n * unit - b * k, a + b * k if k else 0, b, unit
+
     def encode(self, x: int, coder: Encoder, omit=NONE) -> None:
+        if omit:
+            self._encode_without(x, coder, omit)
+            return
+        node, gone = self.at, NOTHING
+        while node is not None:
+            counts = node.counts
+            if len(counts) > len(gone):
+                total, new, b, unit = self._live(node, gone)
+                count = counts.get(x)
+                if count is not None:
+                    before = passed = 0
+                    for s, c in counts.items():
+                        if s == x:
+                            break
+                        if s not in gone:
+                            before += c
+                            passed += 1
+                    low = before * unit - b * passed
+                    coder.narrow(low, low + count * unit - b, total + new)
+                    return
+                coder.narrow(total, total + new, total + new)
+                gone = counts
+            node = node.shorter
+        self.base.encode(x, coder, gone.keys())
+
+    def _encode_without(self, x: int, coder: Encoder, omit) -> None:
         node, excluded = self.at, omit
         while node is not None:
             counts = node.counts
-            if counts:
-                rows, new = self._parts(node, excluded)
-                if rows:
-                    total = sum(w for _, w in rows)
-                    if x in counts:
-                        low = 0
-                        for s, w in rows:
-                            if s == x:
-                                coder.narrow(low, low + w, total + new)
-                                return
-                            low += w
-                    coder.narrow(total, total + new, total + new)
-                excluded = counts.keys() | omit if omit else counts.keys()
+            rows, new = self._parts(node, excluded)
+            if rows:
+                total, low = sum(w for _, w in rows), 0
+                for s, w in rows:
+                    if s == x:
+                        coder.narrow(low, low + w, total + new)
+                        return
+                    low += w
+                coder.narrow(total, total + new, total + new)
+            excluded = counts.keys() | omit
             node = node.shorter
         self.base.encode(x, coder, excluded)
 
     def decode(self, coder: Decoder, omit=NONE) -> int:
-        node, excluded = self.at, omit
+        node, gone = self.at, NOTHING
         while node is not None:
             counts = node.counts
+            if omit:
+                rows, new = self._parts(node, gone.keys() | omit)
+                total = sum(w for _, w in rows)
+            elif len(counts) > len(gone):
+                total, new, b, unit = self._live(node, gone)
+                rows = [(s, c * unit - b) for s, c in counts.items() if s not in gone]
+            else:
+                rows = []
+            if rows:
+                target, low = coder.target(total + new), 0
+                if target < total:
+                    for s, w in rows:
+                        if target < low + w:
+                            coder.narrow(low, low + w, total + new)
+                            return s
+                        low += w
+                coder.narrow(total, total + new, total + new)
             if counts:
-                rows, new = self._parts(node, excluded)
-                if rows:
-                    total = sum(w for _, w in rows)
-                    target, low = coder.target(total + new), 0
-                    if target < total:
-                        for s, w in rows:
-                            if target < low + w:
-                                coder.narrow(low, low + w, total + new)
-                                return s
-                            low += w
-                    coder.narrow(total, total + new, total + new)
-                excluded = counts.keys() | omit if omit else counts.keys()
+                gone = counts
             node = node.shorter
-        return self.base.decode(coder, excluded)
+        return self.base.decode(coder, gone.keys() | omit if omit else gone.keys())
 
     def masses(self, alphabet: list[int]) -> dict[int, float]:
         """What the coder would give each symbol, in one walk over the contexts."""

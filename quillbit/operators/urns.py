@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 import random
+import warnings
+from fractions import Fraction
 
 from quillbit.operators.sequential import Context
 
@@ -242,6 +244,74 @@ class SequenceMemoizer:
     sample = UrnPPM.sample
 
 
+class TableIndices:
+    """The Chinese-restaurant process over table indices: an index is a seated table, or the next one."""
+
+    def __init__(self, a: Fraction = Fraction(1), b: Fraction = Fraction(0)):
+        unit = math.lcm(a.denominator, b.denominator)
+        self.a, self.b, self.unit = int(a * unit), int(b * unit), unit
+        self.customers: list[int] = []
+
+    def _weights(self) -> list[int]:
+        if not self.customers:
+            return [1]
+        return [c * self.unit - self.b for c in self.customers] + [self.a + self.b * len(self.customers)]
+
+    def mass(self, k: int) -> float:
+        weights = self._weights()
+        return weights[k] / sum(weights) if k < len(weights) else 0.0
+
+    def encode(self, k: int, coder, omit=frozenset()) -> None:
+        weights = self._weights()
+        low = sum(weights[:k])
+        if len(weights) > 1:
+            coder.narrow(low, low + weights[k], sum(weights))
+
+    def decode(self, coder, omit=frozenset()) -> int:
+        weights = self._weights()
+        if len(weights) == 1:
+            return 0
+        target, low = coder.target(sum(weights)), 0
+        for k, w in enumerate(weights):
+            if target < low + w:
+                coder.narrow(low, low + w, sum(weights))
+                return k
+            low += w
+        raise ValueError("no table")
+
+    def learn(self, k: int) -> None:
+        if k == len(self.customers):
+            self.customers.append(0)
+        self.customers[k] += 1
+
+
+#: Urn of each value of ``t`` in a parameter string: blending by no, fan-out or depth and fan-out parameters, exclusion, gradient.
+URNS = {"b": "blending", "u": "fanout", "m": "both", "x": "exclusion", "g": "gradient"}
+
+
+def from_parameters(base, text: str):
+    """A context model from ``t=<urn>:d=<depth>:a=<strength>:b=<discount>``; lists by commas, rows of a matrix by slashes."""
+    given = dict(part.split("=", 1) for part in filter(None, text.split(":")))
+    unknown = set(given) - {"t", "d", "a", "b", "n", "e"}
+    if unknown:
+        warnings.warn(f"unknown parameters {sorted(unknown)}", stacklevel=2)
+    kind, depth = URNS[given.get("t", "b")], int(given.get("d", "5"))
+
+    def value(key: str, default: str):
+        rows = [[float(v) for v in row.split(",")] for row in given.get(key, default).split("/")]
+        return rows if kind == "both" else rows[0] if kind == "fanout" or len(rows[0]) > 1 else rows[0][0]
+
+    a, b = value("a", "0"), value("b", "0.5")
+    if kind == "exclusion":
+        return Exclusion(base, depth, a, b)
+    if kind == "gradient":
+        return UrnPPM(base, depth, Gradient(depth, int(given.get("n", "4")), a, b, float(given.get("e", "0.001"))))
+    by = kind if kind in ("fanout", "both") else "depth" if isinstance(a, list) or isinstance(b, list) else ""
+    if by == "depth":
+        a, b = (v if isinstance(v, list) else [v] for v in (a, b))
+    return UrnPPM(base, depth, Blending(a, b, by))
+
+
 class SeatingCRP:
     """A Chinese-restaurant process with random tables (strength ``a``, discount ``b``), and table indices as samples."""
 

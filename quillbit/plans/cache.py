@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillbit.plans.score import score_column
+from quillbit.plans.score import listed_column
 from quillbit.plans.storage import materialise
 
 SCHEMA = "digest string, algo string, size long, csize long, status string, wall double, cpu double, memory long"
@@ -35,14 +35,16 @@ def missing(work: DataFrame, known: DataFrame, rerun_errors: bool = False) -> Da
 
 
 def complete(files: DataFrame, algorithms: list[str], path: str, content: str = "content", key: str = "file",
-             paranoid: bool = False, rerun_errors: bool = False) -> DataFrame:
+             paranoid: bool = False, rerun_errors: bool = False, timeout: float | None = None) -> DataFrame:
     """(file, algo, size, csize, status) of every work item; what was missing is scored once and remembered."""
     spark = files.sparkSession
     work = work_list(files, algorithms, content, key)
-    todo = missing(work, stored(spark, path), rerun_errors).dropDuplicates(["digest", "algo"])
-    scored = todo.select(
-        "digest", "algo", F.octet_length("content").cast("long").alias("size"), score_column(F.col("content"), F.col("algo"), paranoid).alias("r")
-    ).select("digest", "algo", "size", "r.csize", "r.status", "r.wall", "r.cpu", "r.memory")
+    # keys are compared without texts; one copy of a text meets the list of what is still to do for it
+    todo = missing(work.select("digest", "algo").distinct(), stored(spark, path), rerun_errors).groupBy("digest").agg(F.array_sort(F.collect_list("algo")).alias("algos"))
+    keyed = files.select(F.sha2(content, 256).alias("digest"), F.col(content).alias("content"))
+    copies = keyed.join(materialise(todo, "todo"), "digest").groupBy("digest").agg(F.any_value("content").alias("content"), F.any_value("algos").alias("algos"))
+    scored = copies.select("digest", F.octet_length("content").cast("long").alias("size"), F.explode(listed_column(F.col("content"), F.col("algos"), paranoid, timeout)).alias("r"))
+    scored = scored.select("digest", "r.algo", "size", "r.csize", "r.status", "r.wall", "r.cpu", "r.memory")
     materialise(scored, "scored").write.mode("append").parquet(path)
     answers = stored(spark, path).groupBy("digest", "algo").agg(
         F.max_by(F.struct("size", "csize", "status"), (F.col("status") == "ok").cast("int")).alias("x")
@@ -53,3 +55,8 @@ def complete(files: DataFrame, algorithms: list[str], path: str, content: str =
 def renamed(known: DataFrame, old: str, new: str) -> DataFrame:
     """Remembered rows with ``old`` replaced by ``new`` in algorithm names."""
     return known.withColumn("algo", F.replace("algo", F.lit(old), F.lit(new)))
+
+
+def forgotten(known: DataFrame, *algorithms: str) -> DataFrame:
+    """Remembered rows without those of some algorithms: what is written back in their place forgets them."""
+    return known.where(~F.col("algo").isin(*algorithms))

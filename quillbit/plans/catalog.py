@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,7 @@ from quillbit.operators import generate
 from quillbit.operators import histogram as H
 from quillbit.operators import report as R
 from quillbit.operators import sampling, search
-from quillbit.plans import fixtures, oracle, score
+from quillbit.plans import experiments, fixtures, oracle, score
 from quillbit.plans.spec import grid_names, parse
 from quillbit.sources import corpus, tables
 
@@ -342,10 +343,19 @@ def most_probable_symbol(spark, sf):
 # --- coders --------------------------------------------------------------------------------
 
 
+def every_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null text is empty, and an empty text is its end mark alone."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def _sizes(spark, sf, layer: str, base: str) -> DataFrame:
-    """Documents are dealt to all cores first: coding a text costs far more than moving it."""
-    bits = score.measure_column(F.col("text"), parse(layer, base))
-    return A.deal(documents(spark, sf)).select("doc_id", F.octet_length("text").cast("long").alias("size"), bits.alias("bits"))
+    """Documents packed, unpacked and compared; the packed bits are those of the masses that were coded, but for rounding.
+
+    Documents are dealt to all cores first: coding a text costs far more than moving it.
+    """
+    found = score.checked_column(F.col("text"), parse(layer, base))
+    docs = A.deal(every_document(spark, sf)).select("doc_id", F.octet_length("text").cast("long").alias("size"), found.alias("c"))
+    return docs.select("doc_id", "size", F.col("c.same").alias("same"), (F.abs(F.col("c.bits") - F.col("c.ideal")) <= 3).alias("as_coded"))
 
 
 @query
@@ -358,6 +368,11 @@ def size_lzw_escape(spark, sf):
     return _sizes(spark, sf, "lzwEscape", "uniform_byte")
 
 
+@query
+def size_lzw_polya(spark, sf):
+    return _sizes(spark, sf, "lzwEscape", "polya_stoken_uniform_byte")
+
+
 @query
 def size_ppm(spark, sf):
     return _sizes(spark, sf, "ppm:d=5", "uniform_byte")
@@ -370,12 +385,20 @@ def size_ppm_polya(spark, sf):
 
 @query
 def size_crp(spark, sf):
-    return _sizes(spark, sf, "crp:a=1:b=0", "uniform_stoken")
+    """The restaurant's packed bits against its masses as windows say them: (doc_id, n_symbols, bits by windows, agree)."""
+    ideal = bits_crp(spark, sf)
+    docs = A.deal(documents(spark, sf)).select("doc_id", score.measure_column(F.col("text"), parse("crp:a=1:b=0", "uniform_stoken")).alias("packed"))
+    # the end mark comes last: it is new, and one of the tokens that have not been met
+    end = F.log2(F.col("n_symbols") + 1.0) + 21
+    off = F.col("packed") - F.col("bits")
+    return ideal.join(docs, "doc_id").select("doc_id", "n_symbols", "bits", ((off >= 0) & (off <= end + 3)).alias("agree"))
 
 
 def _codec(spark, sf, name: str) -> DataFrame:
-    docs = A.deal(documents(spark, sf)).select("doc_id", score.score_column(F.col("text"), F.lit(f"ref_{name}"), True).alias("r"))
-    return docs.select("doc_id", "r.csize", "r.status")
+    found = score.score_column(F.col("text"), F.lit(f"ref_{name}"), True)
+    docs = A.deal(every_document(spark, sf)).select("doc_id", F.octet_length("text").cast("long").alias("size"), found.alias("r"))
+    # 64 bytes of head and table, and a codec never adds more than a hundredth to what it cannot pack
+    return docs.select("doc_id", "size", "r.status", (F.col("r.csize") <= F.col("size") * 1.01 + 64).alias("bounded"))
 
 
 @query
@@ -403,34 +426,42 @@ def roundtrip_coder(spark, sf):
 
 @query
 def coder_trace(spark, sf):
-    """Steps of the coder over benchmark items, and the bits they add up to."""
+    """Steps of the coder over documents: one for each symbol and the end at least, no region outside its total."""
     spec = parse("ppm:d=2", "uniform_byte")
-    steps = table(spark, sf, "benchmark").select("item_id", F.explode(score.trace_column(F.col("text"), spec)).alias("t"))
-    width = (F.col("t.hi") - F.col("t.lo")) / F.col("t.total")
-    return steps.groupBy("item_id").agg(F.count("*").alias("steps"), F.round(F.sum(-F.log2(width)), 3).alias("bits"))
+    docs = A.deal(every_document(spark, sf)).select("doc_id", F.octet_length("text").cast("long").alias("size"), score.trace_column(F.col("text"), spec).alias("t"))
+    good = F.forall("t", lambda s: (s["lo"] >= 0) & (s["lo"] < s["hi"]) & (s["hi"] <= s["total"]))
+    return docs.select("doc_id", "size", (F.size("t") > F.col("size")).alias("enough"), good.alias("inside"))
 
 
 @query
 def mtf_rank(spark, sf):
-    """Ranks of bytes in a move-to-front list: how often each rank occurs."""
-    docs = A.deal(documents(spark, sf)).select(F.explode(score.ranks_column(F.col("text"))).alias("rank"))
-    return docs.groupBy("rank").agg(F.count("*").alias("n"))
+    """Ranks of bytes in a move-to-front list: (doc_id, bytes, rank 0, rank 1, sum of ranks where a byte comes first)."""
+    docs = A.deal(documents(spark, sf)).select("doc_id", S.octets(F.col("text")).alias("b"), score.ranks_column(F.col("text")).alias("r"))
+    first = F.aggregate(F.array_distinct("b"), F.lit(0).cast("long"), lambda s, x: s + F.element_at(F.col("r"), F.array_position(F.col("b"), x).cast("int")))
+
+    def having(rank: int) -> F.Column:
+        return F.size(F.filter("r", lambda r: r == rank)).cast("long")
+
+    return docs.select("doc_id", F.size("b").cast("long").alias("n"), having(0).alias("zeros"), having(1).alias("ones"), first.alias("firsts"))
 
 
 @query
 def predictive_entropy(spark, sf):
-    """What PPM expects at each byte of a benchmark item: mean entropy in bits over letters and marks."""
-    items = A.deal(table(spark, sf, "benchmark"), "item_id")
-    found = generate.entropies_column(F.col("text"), parse("ppm:d=2", "uniform_byte"), list(range(32, 127)))
-    mean = F.aggregate("e", F.lit(0.0), lambda s, v: s + v) / F.size("e")
-    return items.select("item_id", found.alias("e")).select("item_id", F.size("e").alias("n"), F.round(mean, 4).alias("entropy"))
+    """What PPM expects before each byte of a document, over letters and marks and the end: entropies within their bounds."""
+    docs = A.deal(documents(spark, sf))
+    found = generate.entropies_column(F.col("text"), parse("ppm:d=1", "uniform_byte"), list(range(32, 127)))
+    most = math.log2(96) + 1e-9
+    inside = F.forall("e", lambda x: (x >= 0) & (x <= most))
+    return docs.select("doc_id", found.alias("e")).select("doc_id", F.size("e").cast("long").alias("n"), inside.alias("inside"))
 
 
 @query
 def generated_texts(spark, sf):
-    """Symbols drawn from a model, by seed."""
+    """Symbols drawn from a model, by seed: as many as asked for or up to the end mark, and the same again for the same seed."""
     rows = generate.generated(spark, parse("ppm:d=1", "uniform_byte"), 20, 200)
-    return rows.select("id", F.size("symbols").alias("n"), F.size(F.array_distinct("symbols")).alias("distinct"))
+    again = generate.generated(spark, parse("ppm:d=1", "uniform_byte"), 20, 200).select("id", F.col("symbols").alias("again"))
+    both = rows.join(again, "id")
+    return both.select("id", F.size("symbols").between(0, 200).alias("bounded"), (F.col("symbols") == F.col("again")).alias("same"))
 
 
 # --- result tables ---------------------------------------------------------------------------
@@ -553,10 +584,9 @@ def algo_regex_filter(spark, sf):
 
 @query
 def work_grid(spark, sf):
-    """Work items of every file by every algorithm, and their bytes, without scoring them."""
-    docs = table(spark, sf, "documents").select("lang", F.octet_length("text").alias("size"))
-    work = docs.withColumn("algo", F.explode(F.array(*(F.lit(n) for n in grid_names()[:12]))))
-    return work.groupBy("lang", "algo").agg(F.count("*").alias("items"), F.sum("size").alias("bytes"))
+    """Work items of every file by every algorithm, and their bytes, without scoring them: files are summed before they meet the names."""
+    files = table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("items"), F.sum(F.octet_length("text")).alias("bytes"))
+    return files.select("lang", F.explode(F.array(*map(F.lit, grid_names()))).alias("algo"), "items", "bytes")
 
 
 @query
@@ -619,10 +649,9 @@ def line_counts(spark, sf):
 
 @query
 def bit_counts(spark, sf):
-    """Ones among the bits of benchmark items."""
-    items = table(spark, sf, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("data"))
-    bits = corpus.bit_items(items, "data", "item_id")
-    return bits.groupBy("item_id").agg(F.count("*").alias("n_bits"), F.sum("item").cast("long").alias("ones"))
+    """Ones among the bits of documents."""
+    docs = documents(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return corpus.bit_items(docs, "data", "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_bits"), F.sum("item").cast("long").alias("ones"))
 
 
 @query
@@ -653,18 +682,79 @@ def distribution_masses(spark, sf):
 
 @query
 def contour_grid(spark, sf):
-    """PPM over all benchmark items for every legal cell of a grid; illegal cells are infinite."""
+    """PPM over all benchmark items for every cell of a grid: legal cells have a mean within bounds, illegal ones are infinite."""
     items = table(spark, sf, "benchmark").select(F.col("text").alias("content"))
-    found = search.contour(spark, items, "uniform_byte", 2, (0.0, 0.5), (0.0, 1.0), 4)
-    return found.select("id", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), F.round("efficiency", 4).alias("efficiency"))
+    found = search.contour(spark, items, "uniform_byte", 2, (0.0, 0.5), (0.0, 0.9), 4)
+    finite = F.col("efficiency") < float("inf")
+    return found.select(
+        "id", F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), finite.alias("legal"), F.when(finite, F.col("efficiency").between(0.5, 9.0)).alias("inside")
+    )
+
+
+@query
+def benchmark_grid(spark, sf):
+    """Every benchmark item by every algorithm (those of the experiments, tuned ones and codecs), unpacked and compared."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("file"), F.col("text").alias("content"))
+    done = experiments.benchmark(spark, items, parameters={"training": fixtures.tuned_rows()})
+    good = (F.col("status") == "ok") & (F.col("csize") > 0) & (F.col("wall") < 600)
+    return done.groupBy("algo").agg(F.count("*").alias("files"), F.count_if(good).alias("good"), F.sum("size").alias("bytes"))
 
 
 @query
 def resource_usage(spark, sf):
-    """What packing the benchmark items takes, by algorithm: counts only, since times vary."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("file"), F.col("text").alias("content"))
-    done = score.grid(items, ["ref_gzip", "ppm2_uniform_byte", "lzw_uniform_byte"], paranoid=True)
-    return done.groupBy("algo", "status").agg(F.count("*").alias("files"), F.sum("csize").alias("csize"))
+    """What packing documents takes, by algorithm, twice each: repetitions agree, and times and memory are positive."""
+    docs = every_document(spark, sf).select(F.col("doc_id").alias("file"), F.col("text").alias("content"))
+    done = score.grid(docs, ["ref_gzip", "ppm2_uniform_byte", "lzw_uniform_byte"], paranoid=True, replications=2)
+    runs = R.collected(done, "csize", "algo", "status", "file", "size")
+    sane = done.groupBy("algo").agg(F.bool_and((F.col("wall") > 0) & (F.col("cpu") >= 0) & (F.col("memory") > 0) & (F.col("grown") >= 0)).alias("sane"))
+    same = runs.groupBy("algo", "status").agg(F.count("*").alias("files"), F.bool_and(F.size(F.array_distinct("values")) == 1).alias("steady"))
+    return same.join(F.broadcast(sane), "algo")
+
+
+@query
+def bits_polya_stoken(spark, sf):
+    """A Polya tree over simple tokens."""
+    return A.total_bits(A.polya(A.characters(_short(spark, sf)), S.SIMPLE_RANGE))
+
+
+@query
+def bits_polya_random(spark, sf):
+    """A Polya tree whose priors follow the masses of tokens under random bytes."""
+    return A.total_bits(A.mass_polya(A.characters(_short(spark, sf)), S.SIMPLE_RANGE, A.random_bytes_between))
+
+
+def _short(spark, sf) -> DataFrame:
+    """Names of parts as texts: 21 levels of windows for each character."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+
+
+@query
+def bits_blending_matrix(spark, sf):
+    """Blending with parameters by depth and fan-out."""
+    rows = A.characters(documents(spark, sf))
+    alpha, beta = A.by_depth_and_fanout([[0.5, 0.4], [0.1, 0.2]]), A.by_depth_and_fanout([[0.7, 0.6, 0.5], [0.4, 0.3, 0.2]])
+    return A.total_bits(A.blending(rows, 1, A.uniform_mass(S.SIMPLE_RANGE), alpha, beta))
+
+
+@query
+def int_items(spark, sf):
+    """Lines that are integers: keys of line items, written as text."""
+    texts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit(" "), "l_partkey"))), "\nno number\n").alias("text"))
+    return corpus.int_items(texts, "text", "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("item").cast("long").alias("total"))
+
+
+@query
+def symbol_sampling(spark, sf):
+    """Draws spread evenly over [0, 1) by the shares of languages: how many fall to each."""
+    hist = table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    draws = spark.range(1000).select(((F.col("id") + 0.5) / 1000).alias("u"))
+    return sampling.categorical(draws, hist, "lang", "n").groupBy("lang").agg(F.count("*").alias("hits"))
+
+
+@query
+def collected_values(spark, sf):
+    """Discounts of each order as a sorted list."""
+    return R.collected(table(spark, sf, "lineitem"), "l_discount", "l_orderkey").select("l_orderkey", F.array_join(F.transform("values", lambda v: F.format_string("%.2f", v)), ",").alias("discounts"))
 
 
 def queries() -> dict[str, Query]:

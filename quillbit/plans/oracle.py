@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillbit.functions import symbols as S
-from quillbit.plans import fixtures
+from quillbit.plans import experiments, fixtures
 from quillbit.plans.spec import CATEGORY_WEIGHTS, RANDOM_BYTES, grid_names
 
 SQL: dict[str, str] = {}
@@ -32,7 +32,7 @@ SQL["tok_int_roundtrip"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {_size
 SQL["tok_encode_octets"] = f"WITH {POINTS} SELECT cp, hex(encode(chr(cp))) AS octets FROM p"
 SQL["tok_malformed"] = (
     "SELECT * FROM (VALUES "
-    + ", ".join(f"('{h}', '{fixtures.spelled(d)}', '{fixtures.spelled(s)}', '{h}')" for h, d, s in fixtures.MALFORMED)
+    + ", ".join(f"('{h}', '{d}', '{s}', '{h}')" for h, d, s in fixtures.MALFORMED)
     + ") AS t(hex, detailed, simple, back)"
 )
 SQL["tok_text"] = f"WITH {POINTS} SELECT cp, printf('UnicodeCharacter(%X)', cp) AS token, CASE WHEN cp < 55296 THEN cp ELSE cp - 2048 END AS number FROM p"
@@ -173,6 +173,15 @@ def _depth_blend(k: int) -> str:
 
 
 SQL["bits_blending_depth"] = f"WITH {CHARS}, {_mixed(1, _depth_blend)} {TOTAL}"
+
+
+def _matrix_blend(k: int) -> str:
+    a, b = [[0.5, 0.4], [0.1, 0.2]][k], [[0.7, 0.6, 0.5], [0.4, 0.3, 0.2]][k]
+    pick = "({0}::DOUBLE[])[CAST(greatest(least(u{1}, {2}), 1) AS BIGINT)]"
+    return _blend(pick.format(a, k, 2), pick.format(b, k, 3))(k)
+
+
+SQL["bits_blending_matrix"] = f"WITH {CHARS}, {_mixed(1, _matrix_blend)} {TOTAL}"
 SQL["bits_bernoulli"] = f"""WITH {CHARS}, h2 AS (SELECT *, CAST(sym = 32 AS INTEGER) AS hit FROM s),
 q AS (SELECT *, coalesce(sum(hit) OVER w, 0) AS ones, count(*) OVER w AS n FROM h2 WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 m AS (SELECT doc_id, ((CASE WHEN hit = 1 THEN ones ELSE n - ones END) + 0.5) / (n + 1.0) AS mass FROM q) {TOTAL}"""
@@ -224,8 +233,7 @@ SQL["corpus_include_exclude"] = """SELECT page_id, url FROM pages WHERE (regexp_
 AND NOT regexp_matches(url, '^[^/]*://blog\\.[^/]*/[^/]*/[^/]*$')"""
 _names = ", ".join(f"('{n}')" for n in grid_names())
 SQL["algo_regex_filter"] = f"SELECT algo FROM (VALUES {_names}) AS t(algo) WHERE regexp_matches(algo, '^(ppm[0-3]|lzw|none)') AND algo NOT LIKE '%_lzw_byte' AND NOT regexp_matches(algo, '^ppm.*uniform_token')"
-_some = ", ".join(f"('{n}')" for n in grid_names()[:12])
-SQL["work_grid"] = f"SELECT lang, algo, count(*) AS items, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents, (VALUES {_some}) AS t(algo) GROUP BY ALL"
+SQL["work_grid"] = f"SELECT lang, algo, count(*) AS items, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents, (VALUES {_names}) AS t(algo) GROUP BY ALL"
 SQL["md5_topn_per_lang"] = "SELECT lang, doc_id, md5(text) AS digest, CAST(row_number() OVER (PARTITION BY lang ORDER BY md5(text), doc_id) AS INTEGER) AS rank FROM documents WHERE text <> '' QUALIFY rank <= 5"
 _SPEAKERS = "sp AS (SELECT source, sum(octet_length(encode(text)))::BIGINT AS population FROM documents GROUP BY source)"
 _CUM = f"{_SPEAKERS}, cu AS (SELECT source, population, sum(population) OVER (ORDER BY source)::BIGINT AS upto, sum(population) OVER ()::DOUBLE AS total FROM sp)"
@@ -241,8 +249,8 @@ SELECT id, round(a, 6) AS alpha, round(b, 6) AS beta, b >= 0 AND b <= 1 AND a +
 SQL["file_sizes"] = """WITH z AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS size, source, lang FROM documents)
 SELECT doc_id, size, CAST(floor(log2(greatest(size, 1))) AS INTEGER) AS magnitude, CAST(CASE WHEN size = 0 THEN 1 ELSE pow(2, floor(log2(size)) + 1) END AS BIGINT) AS next_power, source || '_' || lang AS name FROM z"""
 SQL["line_counts"] = "SELECT doc_id, len(string_split(text, chr(10)))::BIGINT AS n_lines, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)))::INTEGER AS longest FROM documents WHERE text <> ''"
-SQL["bit_counts"] = """WITH b AS (SELECT item_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM benchmark)
-SELECT item_id, (8 * count(*))::BIGINT AS n_bits, sum(bit_count(CAST('0x' || h AS INTEGER)))::BIGINT AS ones FROM b GROUP BY item_id"""
+SQL["bit_counts"] = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents WHERE text <> '')
+SELECT doc_id, (8 * count(*))::BIGINT AS n_bits, sum(bit_count(CAST('0x' || h AS INTEGER)))::BIGINT AS ones FROM b GROUP BY doc_id"""
 SQL["special_functions"] = """WITH r AS (SELECT (id + 1) / 4.0::DOUBLE AS x FROM range(200) AS t(id))
 SELECT x, round(lgamma(x), 6) AS log_gamma, round(lgamma(x) + lgamma(2.5) - lgamma(x + 2.5), 6) AS log_beta, round(1 / (1 + exp(-x)), 6) AS inverse_logit,
 round(2 * x + ln(exp(-x) + 1 + exp(-3 * x)), 6) AS log_sum_exp, round(ln((x + 3) * (x + 2) / 2), 6) AS log_choose FROM r"""
@@ -253,3 +261,64 @@ round(ln(x) + 2.5 * ln(1 - x) - lgamma(2.0) - lgamma(3.5) + lgamma(5.5), 6) AS b
 round(1.5 * ln(k) - k / 4.0 - lgamma(2.5) - 2.5 * ln(4.0), 6) AS gamma,
 round(-(k - 25) * (k - 25) / 200.0 - ln({_PI}) - 0.5 * ln(100.0), 6) AS gaussian,
 round(0.25 * exp(-(k - 10) * (k - 10) / 50.0) / ({_PI} * 5) + 0.75 * exp(-(k - 40) * (k - 40) / 50.0) / ({_PI} * 5), 6) AS mixture FROM p"""
+
+# Sizes of packed texts cannot be said in SQL; that they unpack to the text and are as long as what was coded can.
+_ALL = "FROM documents"
+_SIZE = "octet_length(encode(coalesce(text, '')))::BIGINT AS size"
+for _name in ("size_lzw", "size_lzw_escape", "size_lzw_polya", "size_ppm", "size_ppm_polya"):
+    SQL[_name] = f"SELECT doc_id, {_SIZE}, true AS same, true AS as_coded {_ALL}"
+for _name in ("size_gzip", "size_bzip2", "size_lzma"):
+    SQL[_name] = f"SELECT doc_id, {_SIZE}, 'ok' AS status, true AS bounded {_ALL}"
+SQL["size_crp"] = SQL["bits_crp"].replace("SELECT doc_id, count(*) AS n_symbols", "SELECT doc_id, true AS agree, count(*) AS n_symbols")
+SQL["coder_trace"] = f"SELECT doc_id, {_SIZE}, true AS enough, true AS inside {_ALL}"
+SQL["predictive_entropy"] = "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, true AS inside FROM documents WHERE text <> ''"
+SQL["generated_texts"] = "SELECT id, true AS bounded, true AS same FROM range(20) AS t(id)"
+SQL["mtf_rank"] = f"""WITH {BYTES}, w AS (SELECT doc_id, pos, sym, lag(sym) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM s),
+z AS (SELECT doc_id, count(*) AS n, count(*) FILTER (sym = coalesce(before, 0)) AS zeros FROM w GROUP BY doc_id),
+x AS (SELECT doc_id, sym, lag(sym) OVER v AS one, lag(sym, 2) OVER v AS two FROM w WHERE before IS NULL OR before <> sym WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+o AS (SELECT doc_id, count(*) FILTER (sym = CASE WHEN one IS NULL THEN 1 WHEN two IS NULL THEN CASE one WHEN 0 THEN 1 ELSE 0 END ELSE two END) AS ones FROM x GROUP BY doc_id),
+f AS (SELECT doc_id, sym, min(pos) AS first FROM s GROUP BY ALL),
+r AS (SELECT a.doc_id, sum(a.sym)::BIGINT + (SELECT count(*) FROM f b JOIN f c ON b.doc_id = c.doc_id AND c.first < b.first AND c.sym > b.sym WHERE b.doc_id = a.doc_id) AS firsts FROM f a GROUP BY a.doc_id)
+SELECT doc_id, n::BIGINT AS n, zeros::BIGINT AS zeros, ones::BIGINT AS ones, firsts::BIGINT AS firsts FROM z JOIN o USING (doc_id) JOIN r USING (doc_id)"""
+SQL["contour_grid"] = """WITH g AS (SELECT id, 0.5 * (id // 4) / 3.0::DOUBLE AS a, 0.9 * (id % 4) / 3.0::DOUBLE AS b FROM range(16) AS t(id)), l AS (SELECT *, a + b >= 0.01 AS legal FROM g)
+SELECT id, round(a, 6) AS alpha, round(b, 6) AS beta, legal, CASE WHEN legal THEN true END AS inside FROM l"""
+_tests = ", ".join(f"('{n}')" for n in experiments.algorithms({"training": fixtures.tuned_rows()}))
+SQL["benchmark_grid"] = f"""SELECT algo, count(*) AS files, count(*) AS good, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes
+FROM benchmark, (VALUES {_tests}) AS t(algo) GROUP BY algo"""
+SQL["resource_usage"] = """SELECT algo, 'ok' AS status, count(*) AS files, true AS steady, true AS sane
+FROM documents, (VALUES ('ref_gzip'), ('ppm2_uniform_byte'), ('lzw_uniform_byte')) AS t(algo) GROUP BY algo"""
+_PARTS = CHARS.replace(DOCS, "d AS (SELECT p_partkey AS doc_id, p_name AS text, '' AS lang FROM part)")
+SQL["bits_polya_stoken"] = f"WITH {_PARTS}, {_polya(S.SIMPLE_RANGE, 0.5)} {TOTAL}"
+
+
+def _between(lo: str, hi: str) -> str:
+    return "(" + " + ".join(f"greatest(least({hi}, {b}) - greatest({lo}, {a}) + 1, 0)::BIGINT * {w}" for a, b, w in RANDOM_BYTES) + ")"
+
+
+def _mass_polya(size: int) -> str:
+    at, levels = "t0", [f"t0 AS (SELECT doc_id, pos, sym, 0 AS lo, {size - 1} AS hi, 1.0::DOUBLE AS mass FROM s)"]
+    mid = "(lo + (hi - lo + 1) // 2)"
+    frame = "OVER (PARTITION BY doc_id, lo, hi ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    for i in range((size - 1).bit_length()):
+        levels += [
+            f"v{i} AS (SELECT *, {mid} AS mid, CAST(sym >= {mid} AS INTEGER) AS r, count(*) {frame} AS cnt, coalesce(sum(CAST(sym >= {mid} AS INTEGER)) {frame}, 0) AS ones, "
+            f"{_between('lo', 'hi')} AS whole, {_between(mid, 'hi')} AS rm FROM {at})",
+            f"p{i} AS (SELECT *, greatest(CAST(pow(2, length(bin(whole))) AS HUGEINT) // 256, 1) AS scale FROM v{i})",
+            f"q{i} AS (SELECT *, greatest(rm // scale, 1) AS y, greatest(whole // scale - greatest(rm // scale, 1), 1) AS x FROM p{i})",
+            f"t{i + 1} AS (SELECT doc_id, pos, sym, CASE WHEN hi > lo AND r = 1 THEN mid ELSE lo END AS lo, CASE WHEN hi > lo AND r = 0 THEN mid - 1 ELSE hi END AS hi, "
+            f"mass * CASE WHEN hi > lo THEN ((CASE WHEN r = 1 THEN ones ELSE cnt - ones END) + (CASE WHEN r = 1 THEN y ELSE x END)::DOUBLE / (x + y) * 0.5) / (cnt + 0.5) ELSE 1 END AS mass FROM q{i})",
+        ]
+        at = f"t{i + 1}"
+    return ", ".join(levels) + f", m AS (SELECT * FROM {at})"
+
+
+SQL["bits_polya_random"] = f"WITH {_PARTS}, {_mass_polya(S.SIMPLE_RANGE)} {TOTAL}"
+SQL["int_items"] = "SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS total FROM lineitem GROUP BY l_orderkey"
+SQL["symbol_sampling"] = """WITH h AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), c AS (SELECT lang, sum(n) OVER (ORDER BY lang) AS upto, n, sum(n) OVER ()::DOUBLE AS whole FROM h)
+SELECT lang, count(*) AS hits FROM c JOIN range(1000) AS t(id) ON (id + 0.5) / 1000 >= (upto - n) / whole AND (id + 0.5) / 1000 < upto / whole GROUP BY lang"""
+SQL["collected_values"] = "SELECT l_orderkey, string_agg(printf('%.2f', l_discount::DOUBLE), ',' ORDER BY l_discount) AS discounts FROM lineitem WHERE l_discount IS NOT NULL GROUP BY l_orderkey"
+SQL["pps_without_replacement"] = f"""WITH {_SPEAKERS} SELECT source, population FROM sp WHERE population > 0
+ORDER BY -ln((CAST('0x' || substr(md5('0:' || source), 1, 12) AS BIGINT)::DOUBLE + 1) / 281474976710657.0) / population, source LIMIT 5"""
+SQL["longest_row_text"] = """WITH r AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, 'li>', 'tr>', 'g'), '(?is)<tr[^>]*>(.*?)</tr>', 1)) AS x, html FROM pages),
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS row, row_number() OVER () AS k FROM r)
+SELECT page_id, coalesce((SELECT row FROM t WHERE t.page_id = p.page_id ORDER BY length(row) DESC, k LIMIT 1), '') AS row FROM pages p"""

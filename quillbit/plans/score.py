@@ -7,18 +7,24 @@ axis is the document and nothing is shuffled. Rows carry a status in place of er
 from __future__ import annotations
 
 import bz2
+import importlib.util
 import lzma
+import math
 import resource
+import signal
+import threading
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillbit.functions import symbols as S
-from quillbit.operators.coder import BitBuffer, BitCounter, Decoder, Encoder, bits_of
+from quillbit.operators.adaptive import deal
+from quillbit.operators.coder import BitBuffer, BitCounter, Decoder, Encoder
 from quillbit.operators.sequential import LZW, MoveToFront
 from quillbit.plans.spec import ModelSpec, named, parse
 
@@ -53,10 +59,10 @@ def bytes_of(found: list[int], alphabet: str) -> bytes:
     return S.encode_tokens([_detailed_token(x) for x in found])
 
 
-def encode(data: bytes, spec: ModelSpec, sink: BitCounter) -> BitCounter:
-    """Code ``data`` and its end into ``sink``."""
-    stack, coder = spec.build(), Encoder(sink)
-    top, found = stack[-1], symbols_of(data, spec.alphabet)
+def encode_with(data: bytes, spec: ModelSpec, coder: Encoder) -> None:
+    """Narrow a coder by all symbols of ``data`` and the end mark."""
+    stack = spec.build()
+    found, top = symbols_of(data, spec.alphabet), stack[-1]
     if isinstance(top, LZW):
         top.encode_all(found, spec.end, coder)
     else:
@@ -66,6 +72,23 @@ def encode(data: bytes, spec: ModelSpec, sink: BitCounter) -> BitCounter:
             for learn in learners:
                 learn(x)
         top.encode(spec.end, coder)
+
+
+class Summing(Encoder):
+    """A coder that also adds up the bits of the masses it is told."""
+
+    def __init__(self, sink: BitCounter):
+        super().__init__(sink)
+        self.bits = 0.0
+
+    def narrow(self, lo: int, hi: int, total: int) -> None:
+        self.bits += math.log2(total / (hi - lo))
+        super().narrow(lo, hi, total)
+
+
+def encode(data: bytes, spec: ModelSpec, sink: BitCounter) -> BitCounter:
+    coder = Encoder(sink)
+    encode_with(data, spec, coder)
     coder.finish()
     return sink
 
@@ -80,7 +103,7 @@ def measure(data: bytes, spec: ModelSpec) -> int:
 
 
 def decompress(data: bytes, spec: ModelSpec) -> bytes:
-    stack, coder = spec.build(), Decoder(bits_of(data))
+    stack, coder = spec.build(), Decoder(data)
     top = stack[-1]
     if isinstance(top, LZW):
         return bytes_of(top.decode_all(spec.end, coder), spec.alphabet)
@@ -98,6 +121,8 @@ CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "bzip2": (lambda b: bz2.compress(b, 9), bz2.decompress),
     "lzma": (lambda b: lzma.compress(b, preset=9), lzma.decompress),
 }
+if importlib.util.find_spec("zstandard"):
+    CODECS["zstd"] = (lambda b: importlib.import_module("zstandard").compress(b, 19), lambda b: importlib.import_module("zstandard").decompress(b))
 
 
 def codec(algorithm: str) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
@@ -116,40 +141,102 @@ def raw(value) -> bytes:
     return b"" if value is None else value.encode("utf-8", "surrogatepass") if isinstance(value, str) else bytes(value)
 
 
-RESULT = "csize long, bits long, status string, wall double, cpu double, memory long"
+FIELDS = ("csize", "bits", "status", "wall", "cpu", "memory", "grown")
+RESULT = "csize long, bits long, status string, wall double, cpu double, memory long, grown long"
 
 
-def score_column(data: Column, algorithm: Column, paranoid: bool = False, timeout: float | None = None) -> Column:
-    """struct(csize, bits, status, wall, cpu, memory) of packing each value of ``data``.
+@contextmanager
+def limited(seconds: float | None) -> Iterator[None]:
+    """Stop what runs inside with ``TimeoutError`` after so many seconds of wall time.
 
-    ``paranoid`` unpacks and compares. ``status`` is ``ok``, ``mismatch``, ``timeout`` (judged
-    after a row is done, for the next reader to leave out) or ``ERROR: ...`` with a null size.
+    The alarm interrupts Python code at once and a C codec when it returns. Only a main
+    thread has alarms, which is where Spark's Python workers run columns.
     """
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(signum, frame):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, max(seconds, 1e-6))
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _peak() -> int:
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+
+def score(value, algorithm: str, paranoid: bool = False, timeout: float | None = None) -> tuple:
+    """(csize, bits, status, wall, cpu, memory, grown) of packing one value.
+
+    ``paranoid`` unpacks and compares. ``status`` is ``ok``, ``mismatch``, ``timeout`` (stopped
+    after ``timeout`` seconds) or ``ERROR: ...`` with a null size. ``memory`` is the worker's
+    peak after the value in KB, ``grown`` what the value added to it.
+    """
+    wall, cpu, peak = time.perf_counter(), time.process_time(), _peak()
+    size = bits = None
+    try:
+        with limited(timeout):
+            pack, unpack = codec(algorithm)
+            source = raw(value)
+            packed = pack(source)
+            status = "mismatch" if paranoid and unpack(packed) != source else "ok"
+            if status == "ok":
+                size, bits = len(packed), 8 * len(packed)
+    except TimeoutError:
+        status = "timeout"
+    except Exception as e:  # a failed row is a result
+        status = f"ERROR: {e}"
+    return size, bits, status, time.perf_counter() - wall, time.process_time() - cpu, _peak(), _peak() - peak
+
+
+def score_column(data: Column, algorithm: Column, paranoid: bool = False, timeout: float | None = None) -> Column:
+    """What ``score`` says of each value of ``data`` by the algorithm beside it."""
 
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for values, names in batches:
-            rows = []
-            for value, name in zip(values, names, strict=True):
-                wall, cpu = time.perf_counter(), time.process_time()
-                try:
-                    pack, unpack = codec(name)
-                    source = raw(value)
-                    packed = pack(source)
-                    size, status = len(packed), "ok"
-                    if paranoid and unpack(packed) != source:
-                        size, status = None, "mismatch"
-                except Exception as e:  # a failed row is a result
-                    size, status = None, f"ERROR: {e}"
-                wall, cpu = time.perf_counter() - wall, time.process_time() - cpu
-                if timeout is not None and wall > timeout:
-                    size, status = None, "timeout"
-                rows.append((size, None if size is None else 8 * size, status, wall, cpu, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss))
-            yield pd.DataFrame(rows, columns=["csize", "bits", "status", "wall", "cpu", "memory"]).astype({"csize": "Int64", "bits": "Int64"})
+            rows = [score(v, n, paranoid, timeout) for v, n in zip(values, names, strict=True)]
+            yield pd.DataFrame(rows, columns=FIELDS).astype({"csize": "Int64", "bits": "Int64"})
 
     return run(data, algorithm)
 
 
+def scores_column(data: Column, algorithms: dict[str, str], paranoid: bool = False, timeout: float | None = None, replications: int = 1) -> Column:
+    """array of struct(algo, replication, ...): every algorithm (by name its specification) on one copy of each value."""
+    kind = f"array<struct<algo:string,replication:int,{RESULT.replace(' ', ':').replace(',:', ',')}>>"
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            yield pd.Series(
+                [
+                    [{"algo": name, "replication": i} | dict(zip(FIELDS, score(v, spec, paranoid, timeout), strict=True)) for name, spec in algorithms.items() for i in range(replications)]
+                    for v in values
+                ]
+            )
+
+    return run(data)
+
+
+def listed_column(data: Column, algorithms: Column, paranoid: bool = False, timeout: float | None = None) -> Column:
+    """array of struct(algo, ...): each value by the algorithms listed beside it."""
+    kind = f"array<struct<algo:string,{RESULT.replace(' ', ':').replace(',:', ',')}>>"
+
+    @F.pandas_udf(kind)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, lists in batches:
+            yield pd.Series([[{"algo": a} | dict(zip(FIELDS, score(v, a, paranoid, timeout), strict=True)) for a in names] for v, names in zip(values, lists, strict=True)])
+
+    return run(data, algorithms)
+
+
 def measure_column(data: Column, spec: ModelSpec) -> Column:
     """Bits written for each value, as BIGINT."""
 
@@ -161,6 +248,24 @@ def measure_column(data: Column, spec: ModelSpec) -> Column:
     return run(data)
 
 
+def checked_column(data: Column, spec: ModelSpec) -> Column:
+    """struct(bits, ideal, same): what packing writes, what the coded masses add up to, and whether it unpacks to the value."""
+
+    def one(value) -> tuple[int, float, bool]:
+        source = raw(value)
+        coder = Summing(BitBuffer())
+        encode_with(source, spec, coder)
+        coder.finish()
+        return coder.sink.n, coder.bits, decompress(bytes(coder.sink), spec) == source
+
+    @F.pandas_udf("bits long, ideal double, same boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for values in batches:
+            yield pd.DataFrame([one(v) for v in values], columns=["bits", "ideal", "same"])
+
+    return run(data)
+
+
 def compress_column(data: Column, spec: ModelSpec) -> Column:
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -194,17 +299,21 @@ def ranks_column(data: Column) -> Column:
     return run(data)
 
 
-def grid(files: DataFrame, algorithms: list[str], data: str = "content", key: str = "file", paranoid: bool = False) -> DataFrame:
-    """Every file by every algorithm: (file, size, algo, csize, status, bits_per_byte).
+def grid(files: DataFrame, algorithms: list[str] | dict[str, str], data: str = "content", key: str = "file", paranoid: bool = False,
+         timeout: float | None = None, replications: int = 1) -> DataFrame:
+    """Every file by every algorithm: (file, size, algo, replication, csize, status, wall, cpu, memory, grown, bits_per_byte).
 
-    The algorithms are a literal array exploded in place, so there is no join, and each
-    (file, algorithm) pair is dealt to a partition of its own before it is packed.
+    Files are dealt to partitions once, each with one copy of its content; the algorithms
+    (names, or names with their specifications) run one after the other where it lies.
     """
-    names = F.array(*(F.lit(a) for a in algorithms))
-    work = files.select(F.col(key).alias("file"), F.col(data).alias("content"), F.explode(names).alias("algo")).repartition("file", "algo")
-    size = F.octet_length("content").cast("long")
-    done = work.select("file", size.alias("size"), "algo", score_column(F.col("content"), F.col("algo"), paranoid).alias("r"))
-    return done.select("file", "size", "algo", "r.csize", "r.status", (F.col("r.csize") * 8 / F.nullif("size", F.lit(0))).alias("bits_per_byte"))
+    specs = algorithms if isinstance(algorithms, dict) else {a: a for a in algorithms}
+    work = deal(files.select(F.col(key).alias("file"), F.col(data).alias("content")), "file")
+    size = F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")
+    done = work.select("file", size.alias("size"), F.explode(scores_column(F.col("content"), specs, paranoid, timeout, replications)).alias("r"))
+    return done.select(
+        "file", "size", "r.algo", "r.replication", "r.csize", "r.status", "r.wall", "r.cpu", "r.memory", "r.grown",
+        (F.col("r.csize") * 8 / F.nullif("size", F.lit(0))).alias("bits_per_byte"),
+    )
 
 
 def trace_column(data: Column, spec: ModelSpec) -> Column:

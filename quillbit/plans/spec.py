@@ -209,6 +209,23 @@ def named(name: str) -> ModelSpec:
     return parse(SHORT_NAMES[layer], base)
 
 
+def tuned(best: list, files: str) -> dict[str, str]:
+    """Algorithms from tuned parameters: ``ppm_<files>_group_opt_<prior>`` at the best depth and
+    ``ppm_<files>_group_<depth>_<prior>`` at each, by name the full specification.
+
+    ``best`` has rows (prior, depth, alpha, beta, mean_efficiency); the least efficiency is the best.
+    """
+    out: dict[str, str] = {}
+    least: dict[str, float] = {}
+    for r in sorted(best, key=lambda r: (r["mean_efficiency"], r["depth"])):
+        full = f"ppm:d={r['depth']}:a={r['alpha']!r}:b={r['beta']!r}/{r['prior']}"
+        out[f"ppm_{files}_group_{r['depth']}_{r['prior']}"] = full
+        if r["prior"] not in least:
+            least[r["prior"]] = r["mean_efficiency"]
+            out[f"ppm_{files}_group_opt_{r['prior']}"] = full
+    return out
+
+
 def grid_names() -> list[str]:
     """All combinations of layers and bases but those that make no sense."""
     out = [f"{a}_{b}" for a in SHORT_NAMES for b in BASES]

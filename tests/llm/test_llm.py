@@ -3,8 +3,10 @@
 import hashlib
 import html as entities
 import math
+import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -140,8 +142,11 @@ def test_substring_against_brute_force(spark, corpus, size, cells):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substring(corpus, size)
 
 
-def test_substring_with_small_flushes(spark, corpus, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 3])
+def test_substring_with_small_flushes(spark, corpus, monkeypatch, hot):
     monkeypatch.setattr(substring, "FLUSH", 50)
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "SLICE", 7)
     got = substring.remove_repeats(frame(spark, corpus).repartition(3), size=12).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == brute_substring(corpus, 12)
     assert substring.remove_repeats(frame(spark, [])).count() == 0
@@ -221,14 +226,61 @@ def test_secret_rules(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
 
 
-def test_automata_find_other_formats(spark):
+B62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+CLEAN = [
+    "chapter-twelve-2024", "2024-11-26T15:44", "2023-01-02T03", "550e8400-e29b-41d4-a716-446655440000", "release_notes_2024_final", "123456789012345",
+    "http_status_code_404", "path/to/file/number7", "================", "invoice-2023-000417",
+]
+
+
+def planted_secrets(n=40):
+    """Formats that no training string shows."""
     rng = random.Random(9)
-    draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
-    plain = ["internationalisation", "state-of-the-art-engine", "thereforeandtherewith", "misunderstanding"] * 20
-    rows = [(i, f"see {p} here") for i, p in enumerate(plain)] + [(500, f"use ghp_{draw(36)} now"), (501, "use chapter-twelve-2024 now")]
-    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
-    assert got[500] == [3]
-    assert not [i for i in range(len(plain)) if got[i]]
+
+    def draw(k, chars=B62):
+        return "".join(rng.choice(chars) for _ in range(k))
+
+    out = [f"ghp_{draw(36)}" for _ in range(n)] + [f"AIza{draw(35, B62 + '-_')}" for _ in range(n)] + [f"glpat-{draw(20)}" for _ in range(n)]
+    return out + [f"eyJ{draw(60, B62 + '-_')}" for _ in range(n)] + [draw(22) for _ in range(n)]
+
+
+def plain_words():
+    rng = random.Random(10)
+    parts = ["inter", "nation", "al", "mis", "under", "stand", "ing", "there", "fore", "with", "state", "con", "gress", "tion", "pre", "sent", "able"]
+    return sorted({"".join(rng.choice(parts) for _ in range(rng.randrange(4, 7))) for _ in range(900)})
+
+
+def test_format_precision_and_recall(spark):
+    plain, secret = plain_words(), planted_secrets()
+    labelled = ["password = " + s for s in ("Tr0ub4dor3xyzAbc", "correcthorsebattery1")]
+    texts = [f"see {p} here" for p in plain + CLEAN] + [f"use {s} now" for s in secret] + labelled
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(frame(spark, list(enumerate(texts)))).collect()}
+    alarms = [texts[i] for i in range(len(plain) + len(CLEAN)) if got[i]]
+    assert not alarms
+    first = len(plain) + len(CLEAN)
+    found = [i for i in range(first, first + len(secret)) if [(s["kind"], s["value"]) for s in got[i]] == [(3, secret[i - first])]]
+    assert len(found) >= 0.95 * len(secret)
+    assert all(s["score"] is not None for spans in got.values() for s in spans)
+
+
+def test_candidates_are_what_rules_leave():
+    text = "xx 0123456789abcdef0123-ZZtop9QwErTy1 yy token=abcdefghijklmnop/q"
+    spans = secrets.rule_spans(text)
+    left = secrets.candidates(text, spans)
+    assert [v for _, _, v in left] == ["-ZZtop9QwErTy1"]
+    assert all(text[s:e] == v for s, e, v in left)
+    assert secrets.train([], ["abcdefghijklm"]).score("anything") == -math.inf
+
+
+def test_long_texts_are_scanned_whole(spark):
+    tail = " AKIA" + "Z" * 20
+    rows = [(1, "word " * 400_000 + tail), (2, None), (3, "é" * 300_000 + " deadbeefdeadbeef")]
+    got = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["spans"] if s["kind"] < 3] for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got == {1: [(1, 2_000_001)], 2: [], 3: [(2, 300_001)]}
+    bench = frame(spark, [(1, "alpha beta gamma")], "item_id int, text string")
+    long = [(1, "word " * 300_000 + "alpha beta gamma"), (2, "x" * 2_000_000)]
+    found = decontaminate.with_contamination(frame(spark, long), bench).select("doc_id", "__found.n_words", "__found.spans").collect()
+    assert {r["doc_id"]: (r["n_words"], [tuple(s) for s in r["spans"]]) for r in found} == {1: (300_003, [(300_000, 3)]), 2: (1, [])}
 
 
 def test_alergia_learns_frequencies():
@@ -260,10 +312,82 @@ def test_html_articles(spark):
     assert html.extract(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def host_page(i, body):
+    """A page of a host that marks nothing: only other pages tell what is template."""
+    links = "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(5))
+    return (
+        f"<html><body><div><ul>{links}</ul></div><div><p>Welcome to our site, the best there is</p></div>"
+        f"<div><div><h1>Title {i}</h1>{body}<p class=x1>Subscribe to the weekly letter</p></div></div><div>All rights reserved by us</div></body></html>"
+    )
+
+
+def test_the_wrapper_decides(spark):
+    bodies = ["".join(f"<p>Page {i} says word{i * 31 + k} and word{i * 17 + k} at length here.</p><h2>Part</h2>" for k in range(3 + i % 4)) + f"<p>End {i} of it.</p>" for i in range(8)]
+    pages = [host_page(i, b) for i, b in enumerate(bodies)]
+    want = []
+    for i in range(8):
+        lines = [f"Title {i}"]
+        for k in range(3 + i % 4):
+            lines += [f"Page {i} says word{i * 31 + k} and word{i * 17 + k} at length here.", "Part"]
+        want.append("\n".join([*lines, f"End {i} of it."]))
+    rows = [(i, f"https://plain.example/{i}", p) for i, p in enumerate(pages)] + [(i + 100, f"https://plain.example/{i}", p) for i, p in enumerate(pages)]
+    docs = frame(spark, rows, "page_id long, url string, html string, host string, rules string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in html.extract(docs).collect()}
+    assert [got[i] for i in range(8)] == want and [got[i + 100] for i in range(8)] == want
+    alone = [html.main_text(p) for p in pages]
+    assert all(a != w for a, w in zip(alone, want, strict=True)), "without the wrapper template text stays"
+    assert all("Subscribe" in a for a in alone)
+
+
+def test_article_parts_are_not_dropped_by_their_names():
+    page = (
+        "<body class='page has-sidebar'><main><header><h1>On search</h1></header><section id=search><h2>Search</h2><p>We search.</p></section>"
+        "<div class='side story'><p>A side story.</p></div><section id=related-work><p>Earlier work.</p></section><fieldset><p>Boxed text.</p></fieldset>"
+        "<div class=comments><p>First!</p></div><aside>Beside</aside></main><div class='search results'>Elsewhere</div></body>"
+    )
+    assert html.main_text(page) == "On search\nSearch\nWe search.\nA side story.\nEarlier work.\nBoxed text."
+
+
+def test_copies_of_an_article_are_no_template():
+    body = "".join(f"<p>Sentence {k} of the article that many share.</p>" for k in range(9))
+    pages = [f"<nav>menu {i}</nav><article><h1>Shared</h1>{body}</article><footer>{i}</footer>" for i in range(6)]
+    rules = html.rules(html.infer(pages))
+    want = "\n".join(["Shared", *(f"Sentence {k} of the article that many share." for k in range(9))])
+    assert [html.main_text(p, rules) for p in pages] == [want] * 6
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "deep"),
+    ("<blockquote>" * 20_000 + "x" + "</section>" * 20_000, "x"),
+    ("<article><nav>" + "<div>" * 300 + "menu" + "</div>" * 300 + "</nav><p>text</p></article>", "text"),
+    ("<article><img alt=\"5\" screen\">A</article>", "A"), ("<article><p title='it's'>B</p></article>", "B"), ("<article><p title=\"open>C</p></article>", "C"),
+    ("<article>D<!-- <p>no</p> ", "D"), ("<article>E <div class='unfinished", "E"), ("<p>a<a " * 10_000, "a\n" * 9_999 + "a"),
+    ("<article><ul><li><p>one<li>two</ul>&#65;&amp;&nbsp;&lt;b&gt;</article>", "one\ntwo\nA& <b>"), ("<article>5 < 6 and 7 > 6</article>", "5 < 6 and 7 > 6"),
+    ("<article><span class=ad>buy <span>now</span> cheap</span>F</article>", "F"), (None, ""), ("", ""), ("<article></article><p>x</p>", ""),
+])
+def test_broken_pages(page, want):
+    assert html.main_text(page) == want
+    assert html.infer([page or "", "<p>other</p>"]).pages == 2 - (page == "<p>other</p>")
+
+
+def test_alignment_is_monotone_and_linear():
+    rng = random.Random(1)
+    for _ in range(200):
+        left, right = ([(rng.choice("abcd"), frozenset(rng.choice(["", "x", "y"]))) for _ in range(rng.randrange(12))] for _ in range(2))
+        at = (0, 0)
+        for equal, i, j, k, m in html.matches(left, right):
+            assert (i, k) == at and (not equal or [x for x, _ in left[i:j]] == [x for x, _ in right[k:m]])
+            at = (j, m)
+        assert at == (len(left), len(right))
+    pages = ["".join(f"<p>a</p><div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{k}>b</div>" for i in range(3000)) for k in "xyz"]
+    assert len(html.infer(pages).children) <= html.WIDTH + 3000
+
+
 def test_wrapper_is_union_free():
     pages = ["<ul><li>a</li><li>b</li></ul><p>same</p><p>x</p>", "<ul><li>c</li></ul><p>same</p><h2>new</h2>"]
     text = html.expression(html.infer(pages))
     assert "(<li>*</li>)+" in text and "(<h2>new</h2>)?" in text and "|" not in text
+    assert "(<dt>*</dt><dd>*</dd>)+" in html.expression(html.infer(["<dl><dt>a<dd>b<dt>c<dd>d</dl>"]))
     assert entities.unescape("&lt;") == "<"
 
 
@@ -324,15 +448,35 @@ def test_top_k_against_brute_force(spark, monkeypatch, block, n):
     monkeypatch.setattr(topk, "BLOCK", block)
     rng = np.random.default_rng(n)
     vectors = [(i, [float(x) for x in np.round(rng.normal(0, 0.2, 8), 2)]) for i in range(n)]
-    vectors += [(1000, None), (1001, [0.1, None] + [0.0] * 6), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1050, vectors[0][1]), (1004, [])]
-    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, query_block=3).collect()
-    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if i not in (1000, 1001, 1002, 1003)]
-    want = set()
-    for q, a in good:
-        if q % 50 == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in good if i != q)[:5]
-            want |= {(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)}
-    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+    vectors += [(1000, None), (1001, [0.1, None] + [0.0] * 6), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1050, vectors[0][1]), (1004, []), (None, [0.1] * 8)]
+    vectors += [(1100, vectors[1][1]), (1100, vectors[2][1]), (1100, vectors[2][1])]  # one id, asked three times
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, block_bytes=400).collect()
+    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in vectors if i not in (None, 1000, 1001, 1002, 1003)]
+    want = []
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        asked = [a for i, a in good if i == q]
+        scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for a in asked for i, b in good if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
+    none = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.lit(False))
+    assert none.count() == 0
+
+
+def test_top_k_stops_reading_where_bounds_allow():
+    rng = np.random.default_rng(4)
+    ids = np.arange(3000)
+    skewed = np.floor(256 * rng.standard_t(1.5, (3000, 16)) * np.geomspace(1, 1e-3, 16)).astype(np.int64)
+    flat = np.floor(256 * rng.normal(0, 0.1, (3000, 16))).astype(np.int64)
+    depth = {}
+    for name, x in (("skewed", skewed), ("flat", flat)):
+        best = topk.Best(40, 5)
+        reads = [topk.search_block(x[:40], ids[:40], x[at : at + 1000], ids[at : at + 1000], best) for at in (0, 1000, 2000)]
+        depth[name] = np.array(reads)
+        scores = x[:40] @ x.T
+        np.fill_diagonal(scores, -(1 << 60))
+        assert (np.sort(scores, axis=1)[:, :-6:-1] == best.score).all()
+    assert depth["skewed"][1:].mean() < 0.2 < depth["flat"].mean()
+    assert len(set(depth["skewed"][0])) > 1, "each query stops on its own"
 
 
 def test_toxicity(spark):
@@ -359,8 +503,43 @@ def test_toxicity(spark):
 def test_nnpu_never_fits_the_positives_into_negative_risk():
     positive = ["bad thing"] * 30
     unlabelled = ["good thing"] * 70 + ["bad thing"] * 30
-    model = toxicity.train(positive, unlabelled, [("bad thing", 1)] * 5 + [("good thing", 0)] * 15, 0.3, evidence=1.0)
+    model = toxicity.train(positive, unlabelled, 0.3, evidence=1.0)
     assert model.score("bad thing") > 0.5 > model.score("good thing")
+    scores = [model.score(t) for t in unlabelled]
+    assert sum(scores) / len(scores) == pytest.approx(0.3, abs=0.05), "calibrated to the prior without negatives"
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """One key that repeats brings one text; very long and null texts are scored."""
+    rng = random.Random(7)
+    rows = [(i, words(rng, 30) + (" vile slurword nasty" if i % 5 == 0 else "")) for i in range(200)]
+    rows += [(0, rows[0][1])] * 3000 + [(None, "vile slurword nasty")] * 5 + [(300, "word " * 200_000 + "vile slurword nasty")]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, __score double")
+    marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(0, 1)] * 50 + [(None, 1)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train
+    toxicity.train = lambda p, u, prior: seen.append((len(p), len(u))) or real(p, u, prior)
+    try:
+        model = toxicity.fit(docs, marks, max_positives=20, max_unlabelled=40)
+    finally:
+        toxicity.train = real
+    assert seen[0][0] <= 20 and seen[0][1] <= 60
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and 0 not in {r["doc_id"] for r in kept.select("doc_id").collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_held_out_toxicity(spark):
+    """Labels of the held-out quarter, which training never sees."""
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.fit(docs, marks)
+    held = docs.where(toxicity.fold(F.col("doc_id")) == 2).join(marks, "doc_id").select("toxic", toxicity.score_column(spark, model, F.col("text")).alias("s")).toPandas()
+    y, s = held["toxic"].to_numpy(), held["s"].to_numpy()
+    ranks = held["s"].rank().to_numpy()
+    auc = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    said = s >= 0.3
+    print("held out: rows", len(y), "toxic", y.sum(), "auc", auc, "recall", said[y == 1].mean(), "precision", y[said].mean())
+    assert auc >= 0.95 and said[y == 1].mean() >= 0.85 and y[said].mean() >= 0.85
 
 
 def test_mixing(spark):
@@ -388,10 +567,70 @@ def test_mixing(spark):
     assert sampled.columns == docs.columns
     assert Counter(r["doc_id"] for r in sampled.collect()) == Counter(r["doc_id"] for r in plan if r["sampled"])
     assert mixing.mixing_plan(docs.limit(0)).count() == 0
+    # far more cells than one partition may have: the same plan by grouping and joining
+    spread = mixing.mixing_plan(docs, max_cells=3).collect()
+    assert Counter((r["doc_id"], round(r["prob"], 9)) for r in spread) == Counter((r["doc_id"], round(r["prob"], 9)) for r in plan)
     tree = mixing.mixing_plan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in tree and "Pandas" not in tree
 
 
+def test_mixing_to_given_targets(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, 30), rng.choice(["en", "fr", "de"]), rng.choice(["web", "web", "web", "books", "code"])) for i in range(3000)]
+    docs = frame(spark, rows)
+    targets = {"source": {"web": 1, "books": 2, "code": 0, "radio": 5}, "lang": {"en": 0.6, "fr": 0.3, "de": 0.1}}
+    plan = mixing.mixing_plan(docs, targets=targets, budget=0.2).collect()
+    total = sum(r["n_tokens"] * r["weight"] for r in plan)
+    for d, want in (("source", {"web": 1 / 3, "books": 2 / 3, "code": 0}), ("lang", {"en": 0.6, "fr": 0.3, "de": 0.1})):
+        for value, share in want.items():
+            assert sum(r["n_tokens"] * r["weight"] for r in plan if r[d] == value) / total == pytest.approx(share, abs=1e-6)
+    assert not any(r["sampled"] for r in plan if r["source"] == "code")
+    kept = Counter()
+    for r in plan:
+        kept[r["source"]] += r["n_tokens"] * r["sampled"]
+    assert kept["books"] / kept["web"] == pytest.approx(2, rel=0.2)
+    with pytest.raises(ValueError):
+        mixing.mixing_plan(docs, targets={"colour": {"red": 1}})
+    impossible = frame(spark, [(1, "a b", "en", "web"), (2, "c d", "fr", "books")])
+    with pytest.warns(UserWarning, match="off its target"):
+        mixing.mixing_plan(impossible, targets={"source": {"web": 1, "books": 1}, "lang": {"en": 3, "fr": 1}}).count()
+
+
+def test_shards_are_those_of_the_rule(spark):
+    """Every shard by brute force: the largest -weight / ln(u) over the shards."""
+    weights = [1.0, 2.0, 0.5]
+    u = [(F.shiftrightunsigned(F.xxhash64(F.col("id").cast("string"), F.lit(s), F.lit(6)), 11).cast("double") + 0.5) / float(1 << 53) for s in range(3)]
+    rows = spark.range(500).select("id", sharding.rendezvous(F.col("id"), weights).alias("shard"), F.array(*u).alias("u")).collect()
+    for r in rows:
+        scores = [-w / math.log(x) for w, x in zip(weights, r["u"], strict=True)]
+        assert r["shard"] == scores.index(max(scores))
+
+
+def test_decontamination_of_many_blocks(spark):
+    rng = random.Random(14)
+    items = [(str(i), words(rng, 16, 5000)) for i in range(20)]
+    rows = [(i, words(rng, 20, 5000) + " " + " ".join(items[(i * k) % 20][1] for k in (1, 3, 7)) + " " + words(rng, 5)) for i in range(30)] + [(99, None), (3, "x y")]
+    docs = frame(spark, rows).withColumn("__found", F.lit("mine")).withColumn("__digest", F.lit(1))
+    got = decontaminate.with_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), size=13, block_bytes=60, column="hits").collect()
+    assert got[0].asDict().keys() == {*docs.columns, "hits"} and all(r["__found"] == "mine" for r in got)
+    want = Counter((i, *map(str, brute_contamination(t, items, 13))) for i, t in rows)
+    assert Counter((r["doc_id"], *map(str, (r["hits"]["n_words"], sum(s["count"] for s in r["hits"]["spans"]), r["hits"]["items"]))) for r in got) == want
+    kept = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {99, 3}
+
+
+def test_a_full_block_stays_small():
+    """4 MB of distinct words: what a worker holds is bounded by the text."""
+    text = " ".join(f"w{i}" for i in range(450_000))
+    tracemalloc.start()
+    table = decontaminate.NgramSet([("1", text)], 13)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 64 << 20
+    hits, items = table.find([f"w{i}".encode() for i in range(1000, 1020)])
+    assert len(hits) == 8 and items == {"1"}
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(12)
