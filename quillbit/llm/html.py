@@ -86,10 +86,11 @@ ARTICLE = frozenset("article articlebody postbody entrycontent postcontent mainc
 CLOSES = {t: g for g in (("li",), ("dd", "dt"), ("tr",), ("td", "th"), ("option",), ("p",)) for t in g}
 HOLDS = frozenset("ul ol dl table article section div body".split())
 UNFINISHED = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
-#: A tag: quotes count only around a value, after an equals sign; an unclosed quote is part of an unquoted value.
+#: A tag: quotes count only around a value, after an equals sign; an unclosed quote is part of an unquoted value; a ``<`` where
+#: an attribute could begin ends a tag that lacks its ``>``.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|"
-    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)>",
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/<>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)(?:>|(?=<))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
@@ -313,14 +314,18 @@ def _fold(children: list[Group], mark) -> list[Group]:
             out[-1].repeat = True
         else:
             out.append(c)
-    # runs of two to four labels that repeat become one group
+    # runs of two to four labels that repeat, and look alike, become one group
     for period in (2, 3, 4):
         labels = [c.label for c in out]
         at, rows = 0, []
         while at < len(out):
             run = labels[at : at + period]
             times = 1
-            while len(run) == period and labels[at + times * period : at + (times + 1) * period] == run:
+            while (
+                len(run) == period
+                and labels[at + times * period : at + (times + 1) * period] == run
+                and all(out[at + i].folds(out[at + times * period + i]) for i in range(period))
+            ):
                 times += 1
             if times == 1:
                 rows.append(out[at])
