@@ -7,7 +7,7 @@ import xxhash
 
 #: Fixed odd multipliers of the rolling hashes.
 BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157))
-#: Distinct words whose hashes a worker keeps; it starts anew beyond them.
+#: Distinct words whose hashes a worker keeps; it starts anew beyond them, within a long text too.
 CACHE = 1 << 16
 
 
@@ -51,9 +51,13 @@ class WordHashes(dict):
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        out = np.empty(len(words), dtype=np.uint64)
+        for at in range(0, len(words), CACHE):
+            part = words[at : at + CACHE]
+            out[at : at + len(part)] = np.fromiter(map(self.__getitem__, part), dtype=np.uint64, count=len(part))
+            if len(self) > CACHE:
+                self.clear()
+        return out
 
 
 #: One for all tasks of a worker: words recur from task to task.
