@@ -397,12 +397,13 @@ class CRP:
 class Context:
     """A node of the context tree: counts, deeper contexts by symbol, and the shorter context."""
 
-    __slots__ = ("counts", "deeper", "n", "shorter")
+    __slots__ = ("counts", "deeper", "depth", "n", "shorter")
 
     def __init__(self, shorter: Context | None):
         self.counts: dict[int, int] = {}
         self.deeper: dict[int, Context] = {}
         self.shorter, self.n = shorter, 0
+        self.depth = shorter.depth + 1 if shorter else 0
 
 
 class PPM:
@@ -422,7 +423,6 @@ class PPM:
         if special:
             self.special = (frozenset(special["symbols"]), *self._over(special["a"], special["b"]))
         self.root = self.at = Context(None)
-        self.length = 0
 
     @staticmethod
     def _over(a: Fraction, b: Fraction) -> tuple[int, int, int]:
@@ -548,8 +548,7 @@ class PPM:
                 break
             node = node.shorter
         # the next context: one deeper until the greatest depth, then the shorter one's child
-        self.length += 1
-        start = self.at if self.length <= self.depth else self.at.shorter
+        start = self.at if self.at.depth < self.depth else self.at.shorter
         self.at = self._child(start, x) if self.depth else self.root
 
     def _child(self, node: Context | None, x: int) -> Context:
