@@ -14,6 +14,7 @@ FANOUT = [[0.7, 0.6, 0.5], [0.4, 0.3, 0.2]]
 MODELS = {
     "bits_blending_py": (A.characters, lambda r: A.blending(r, 2, A.uniform_mass(S.SIMPLE_RANGE), 0.25, 0.5)),
     "bits_blending_depth": (A.characters, lambda r: A.blending(r, 1, A.uniform_mass(S.SIMPLE_RANGE), A.by_depth([0.5, 0.1]), A.by_fanout(FANOUT[0]))),
+    "bits_blending_matrix": (A.characters, lambda r: A.blending(r, 1, A.uniform_mass(S.SIMPLE_RANGE), A.by_depth_and_fanout([[0.5, 0.4], [0.1, 0.2]]), A.by_depth_and_fanout(FANOUT))),
 }
 
 
