@@ -13,6 +13,7 @@ BASE = 1.0 / S.SIMPLE_RANGE
 FANOUT = [[0.7, 0.6, 0.5], [0.4, 0.3, 0.2]]
 MODELS = {
     "bits_polya_byte": (A.byte_stream, lambda r: A.polya(r, 257)),
+    "bits_order2_kt": (A.byte_stream, lambda r: A.order_k(r, 2, 257)),
     "bits_ppmd_noexcl": (A.characters, lambda r: A.ppmd(r, 2, A.uniform_mass(S.SIMPLE_RANGE))),
     "bits_blending_py": (A.characters, lambda r: A.blending(r, 2, A.uniform_mass(S.SIMPLE_RANGE), 0.25, 0.5)),
     "bits_blending_depth": (A.characters, lambda r: A.blending(r, 1, A.uniform_mass(S.SIMPLE_RANGE), A.by_depth([0.5, 0.1]), A.by_fanout(FANOUT[0]))),
