@@ -12,6 +12,7 @@ from quillbit.plans import catalog
 BASE = 1.0 / S.SIMPLE_RANGE
 FANOUT = [[0.7, 0.6, 0.5], [0.4, 0.3, 0.2]]
 MODELS = {
+    "bits_crp": (A.characters, lambda r: A.crp(r, A.uniform_mass(S.SIMPLE_RANGE), 1.0, 0.0)),
     "bits_polya_byte": (A.byte_stream, lambda r: A.polya(r, 257)),
     "bits_order2_kt": (A.byte_stream, lambda r: A.order_k(r, 2, 257)),
     "bits_ppmd_noexcl": (A.characters, lambda r: A.ppmd(r, 2, A.uniform_mass(S.SIMPLE_RANGE))),
