@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillbit.functions import symbols as S
-from quillbit.plans import fixtures
+from quillbit.plans import catalog, fixtures
 
 
 def spell(tokens):
@@ -65,3 +65,13 @@ def test_columns(spark):
     for r in points.select("cp", S.utf8_hex(F.col("cp")).alias("h"), S.octet_width(F.col("cp")).alias("w")).collect():
         assert r["h"] == chr(r["cp"]).encode().hex().upper()
         assert r["w"] == len(chr(r["cp"]).encode())
+
+
+def test_recoding_holds_no_column_of_tokens(spark, tmp_path):
+    texts = ["a", "é漢😀", "", None, "\0x" * 50]
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["roundtrip_utf8"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(3, 0)]
+    assert "recode(" in got._jdf.queryExecution().toString()
+    hexes = spark.createDataFrame([(h,) for h, _, _ in fixtures.MALFORMED], "hex string").withColumn("d", F.unhex("hex"))
+    assert hexes.select(S.recoded_column(F.col("d")).alias("r"), S.encode_column(S.decode_column(F.col("d"))).alias("e")).where("NOT r <=> e").count() == 0
