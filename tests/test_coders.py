@@ -1,3 +1,4 @@
+import lzma
 import math
 import random
 from fractions import Fraction
@@ -8,7 +9,7 @@ from quillbit.functions import symbols as S
 from quillbit.operators import coder as C
 from quillbit.operators import sequential as M
 from quillbit.operators.urns import Blending, Exclusion, Gradient, SeatingCRP, SequenceMemoizer, UrnPPM
-from quillbit.plans.score import compress, decompress, measure
+from quillbit.plans.score import codec, compress, decompress, measure
 from quillbit.plans.spec import BASES, LAYERS, grid_names, named, parse, parse_part
 
 TEXTS = [b"", b"a", b"abracadabra " * 20, "naïve 😀 ключ κόσμε".encode() * 3, bytes(range(256)), b"\xed\xa0\x80\xc0\xaf\xff" * 4]
@@ -131,3 +132,10 @@ def test_masses_of_ppm_are_what_is_coded():
         coder.trace = []
         model.encode(x, coder)
         assert math.isclose(found[x], math.prod((b - a) / t for a, b, t in coder.trace), rel_tol=1e-9)
+
+
+def test_lzma_takes_a_dictionary_of_the_size_of_the_text():
+    pack, unpack = codec("ref_lzma")
+    for data in (b"", b"x", bytes(range(256)) * 40):
+        assert len(pack(data)) == len(lzma.compress(data, preset=9)) and unpack(pack(data)) == data
+        assert lzma.LZMADecompressor(memlimit=1 << 20).decompress(pack(data)) == data
