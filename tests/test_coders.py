@@ -9,7 +9,7 @@ from quillbit.functions import symbols as S
 from quillbit.operators import coder as C
 from quillbit.operators import sequential as M
 from quillbit.operators.urns import Blending, Exclusion, Gradient, SeatingCRP, SequenceMemoizer, UrnPPM
-from quillbit.plans.score import codec, compress, decompress, measure
+from quillbit.plans.score import codec, compress, decompress, measure, traces
 from quillbit.plans.spec import BASES, LAYERS, grid_names, named, parse, parse_part
 
 TEXTS = [b"", b"a", b"abracadabra " * 20, "naïve 😀 ключ κόσμε".encode() * 3, bytes(range(256)), b"\xed\xa0\x80\xc0\xaf\xff" * 4]
@@ -139,3 +139,11 @@ def test_lzma_takes_a_dictionary_of_the_size_of_the_text():
     for data in (b"", b"x", bytes(range(256)) * 40):
         assert len(pack(data)) == len(lzma.compress(data, preset=9)) and unpack(pack(data)) == data
         assert lzma.LZMADecompressor(memlimit=1 << 20).decompress(pack(data)) == data
+
+
+def test_traces_are_handed_on_text_by_text():
+    spec = parse("ppm:d=2", "uniform_byte")
+    texts = ["abab", "", None, "x" * 30, "ab"]
+    parts = list(traces(iter(texts), spec, 1))
+    assert [len(p) for p in parts] == [1] * 5 and all(len(p[0]) > len(t or "") for p, t in zip(parts, texts, strict=True))
+    assert [t for p in parts for t in p] == [t for p in traces(texts, spec) for t in p]
