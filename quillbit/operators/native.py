@@ -29,7 +29,7 @@ RETURNS = {
     "pack": T.BinaryType(), "unpack": T.BinaryType(), "measure": T.LongType(), "entropies": T.ArrayType(T.DoubleType()),
 }
 #: Bases of the kernel, by name: None for even priors, else the ranges whose masses the priors follow.
-BASES = {"uniform_byte": None, "uniform_stoken": None}
+BASES = {"uniform_byte": None, "uniform_stoken": None, "lzw_byte": None, "polya_byte": None, "polya_stoken": None, "polya_stoken_uniform_byte": RANDOM_BYTES, "polya_stoken_uniform_token": "even"}
 
 
 @cache

@@ -44,3 +44,8 @@ def test_sizes_need_no_python(texts, monkeypatch):
 def test_other_stacks_stay_in_python():
     assert native.arguments(parse("crp:a=1:b=0", "uniform_byte")) is None
     assert native.arguments(parse("ppm:d=2", "categorical_token")) is None
+
+
+def test_ppm_over_a_tree_is_that_of_python(texts):
+    same_as_python(texts, "ppm:d=4:a=0.0001973:b=0.5131823", "polya_stoken_uniform_byte")
+    same_as_python(texts, "ppm:d=2", "polya_byte")
