@@ -41,6 +41,8 @@ def arguments(spec: ModelSpec) -> tuple[str, ...] | None:
         return None
     if isinstance(top, M.PPM) and top.special is None:
         kind, layer = "ppm", (top.depth, top.a, top.b, top.unit)
+    elif isinstance(top, M.LZW):
+        kind, layer, base = "lzw" if top.seeded else "lzwEscape", (0, 0, 0, 1), top.base
     else:
         return None
     tree, ranges, num, den = isinstance(base, M.PolyaTree), [], 0, 1

@@ -49,3 +49,8 @@ def test_other_stacks_stay_in_python():
 def test_ppm_over_a_tree_is_that_of_python(texts):
     same_as_python(texts, "ppm:d=4:a=0.0001973:b=0.5131823", "polya_stoken_uniform_byte")
     same_as_python(texts, "ppm:d=2", "polya_byte")
+
+
+@pytest.mark.parametrize("layer,base", [("lzwEscape", "polya_stoken_uniform_byte"), ("lzwEscape", "uniform_byte"), ("lzw", "uniform_byte"), ("none", "lzw_byte")])
+def test_lzw_is_that_of_python(texts, layer, base):
+    same_as_python(texts, layer, base)
