@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillbit.operators import native
 from quillbit.plans import score
 from quillbit.plans.spec import parse
@@ -54,3 +56,10 @@ def test_ppm_over_a_tree_is_that_of_python(texts):
 @pytest.mark.parametrize("layer,base", [("lzwEscape", "polya_stoken_uniform_byte"), ("lzwEscape", "uniform_byte"), ("lzw", "uniform_byte"), ("none", "lzw_byte")])
 def test_lzw_is_that_of_python(texts, layer, base):
     same_as_python(texts, layer, base)
+
+
+def test_round_trip_needs_no_python(texts, monkeypatch):
+    python_only(monkeypatch)
+    spec = parse("ppm:d=3", "uniform_stoken")
+    back = score.decompress_column(score.compress_column(texts["t"], spec), spec)
+    assert texts.where(F.coalesce("t", F.expr("X''")) == back).count() == len(TEXTS) + 1
