@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillbit.operators import native
+from quillbit.operators import generate, native
 from quillbit.plans import score
 from quillbit.plans.spec import parse
 
@@ -63,3 +63,11 @@ def test_round_trip_needs_no_python(texts, monkeypatch):
     spec = parse("ppm:d=3", "uniform_stoken")
     back = score.decompress_column(score.compress_column(texts["t"], spec), spec)
     assert texts.where(F.coalesce("t", F.expr("X''")) == back).count() == len(TEXTS) + 1
+
+
+def test_entropies_are_those_of_python(texts):
+    spec, alphabet = parse("ppm:d=1", "uniform_byte"), list(range(32, 127))
+    found = texts.where("i < 6 AND i <> 4").select("i", generate.entropies_column(F.col("t"), spec, alphabet).alias("e"))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        assert r["e"] == pytest.approx(generate.entropies(spec, list(TEXTS[r["i"]]), alphabet), abs=1e-9)
