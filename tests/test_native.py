@@ -71,3 +71,11 @@ def test_entropies_are_those_of_python(texts):
     assert "Python" not in found._jdf.queryExecution().toString()
     for r in found.collect():
         assert r["e"] == pytest.approx(generate.entropies(spec, list(TEXTS[r["i"]]), alphabet), abs=1e-9)
+
+
+def test_grid_by_the_kernel_has_the_sizes_of_python(texts):
+    files = texts.select(F.col("i").cast("string").alias("file"), F.col("t").alias("content"))
+    both = [score.grid(files, ["ref_gzip", "ppm2_uniform_byte", "lzw_uniform_byte"], paranoid=True, replications=2, kernel=k) for k in (True, False)]
+    columns = ["file", "size", "algo", "replication", "csize", "status", "bits_per_byte"]
+    assert sorted(both[0].select(columns).collect()) == sorted(both[1].select(columns).collect())
+    assert both[0].where("wall > 0 AND cpu >= 0 AND memory > 0 AND grown >= 0").count() == 6 * (len(TEXTS) + 1)
