@@ -3,21 +3,23 @@
 1. One scan of every whole text finds the spans of the rules (``assign``, ``access``,
    ``hex``) and all *candidates*: maximal runs ``[A-Za-z0-9+/_=-]{12,}``, and of runs that
    meet rule spans what is left of them beside these, if that has 12 characters.
-2. Labelled credentials are the values the rules found, and those of ``labelled``: examples
-   of published formats unless the caller gives others. An automaton is learnt for each
-   kind (``grammar.learn``: prefix tree, state merging).
-   The background is learnt from half of a sample of the candidates, of every shape: an
-   automaton over classes, and letter pairs; and an automaton of ``plain_shapes``, common
-   formats that are no secrets. Candidates of the sample that score as secrets are left
-   out and the background is learnt again, up to ``ROUNDS`` times.
+2. Labelled credentials are the distinct values the rules found in all texts, and those of
+   ``labelled``: examples of published formats unless the caller gives others. An automaton
+   is learnt for each kind (``grammar``: prefix tree, state merging).
+   The background is learnt from all distinct candidates, of every shape: an automaton over
+   classes, and letter pairs; and an automaton of ``plain_shapes``, common formats that are
+   no secrets. Candidates that score as secrets are left out and the background is learnt
+   again, up to ``ROUNDS`` times. A candidate is judged by the background of the other half
+   (by a hash) of the candidates, so that none speaks for itself.
 3. Every candidate and every rule value is scored: log2 likelihood under the best format
-   less that under the best background, for each character. A candidate becomes a span of
-   kind ``format`` when its score reaches the threshold; rule spans always stay. The
-   threshold is ``THRESHOLD``, or more where the scores of candidates that were held back
-   from training spread further: ``SPREADS`` median deviations above their median.
-
-Samples are the first ``MAX_LABELLED`` (``MAX_PLAIN``) distinct values of a kind in the
-order of a hash, none over ``MAX_LENGTH`` characters; scores and spans cover every text.
+   less that under the best background of all that was kept, for each character. A candidate
+   becomes a span of kind ``format`` when its score reaches the threshold; rule spans always
+   stay. The threshold is ``THRESHOLD``, or more where the scores that candidates have by
+   the other half spread further: ``SPREADS`` median deviations above their median.
+
+No value is left out of counts, medians, scores or spans, whatever its length and however
+many there are. Executors count steps (``grammar.steps``, ``Pairs.steps``); what reaches the
+driver are sums for each place and class, whose number does not grow with the values.
 Offsets are code points, ends exclusive; a span of a rule is its whole match. Defined
 results: null text counts as empty and has no span; repeated rows are scanned alike;
 extra columns are ignored; without any labelled value nothing is added.
@@ -28,14 +30,15 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbit.llm.grammar import Automaton, Pairs, learn
-from quillbit.plans.storage import materialise
+from quillbit.llm.grammar import Automaton, Pairs, learn, merge, steps
+from quillbit.plans.storage import materialise, measured
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,10 +47,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SHORTEST = 12
-MAX_LABELLED, MAX_PLAIN, MAX_LENGTH = 400, 2000, 128
 THRESHOLD, SPREADS, ROUNDS = 0.5, 4, 4
-#: Kind of the candidates among sampled values.
+#: Kind of the candidates among all values.
 PLAIN = -1
+#: Scores that are sorted on the driver to end the search for a median.
+FEW = 1 << 14
 SCAN = "spans array<struct<start:int,kind:int,end:int,value:string>>, candidates array<struct<start:int,end:int,value:string>>"
 
 
@@ -158,57 +162,170 @@ class Scorer:
         return (max(a.bits(value) for a in self.formats) - max(b.bits(value) for b in self.background)) / max(len(value), 1)
 
 
-def train(labelled: list[tuple[int, str]], plain: list[str], threshold: float = THRESHOLD) -> Scorer:
-    """Learn from (kind, credential) pairs and from candidates that stand for what is no secret."""
-    groups: dict[int, list[str]] = {}
-    for kind, value in labelled:
-        groups.setdefault(kind, []).append(value)
-    formats = [learn(v) for _, v in sorted(groups.items())]
-    shapes = learn(plain_shapes())
-    own, held = plain[::2], plain[1::2]
+class Plain:
+    """What counted candidates tell of the background."""
+
+    def __init__(self, states: Counter | None = None, pairs: Counter | None = None):
+        self.states, self.pairs = states or Counter(), pairs or Counter()
+
+    def add(self, values: list[str]) -> None:
+        self.states.update(steps(values))
+        self.pairs.update(Pairs.steps(values))
+
+    def __add__(self, other: Plain) -> Plain:
+        return Plain(self.states + other.states, self.pairs + other.pairs)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Plain) and (self.states, self.pairs) == (other.states, other.pairs)
+
+    def models(self) -> list:
+        return [Pairs(self.pairs)] + ([merge(self.states)] if self.states else [])
+
+
+class Judge:
+    """Scores of candidates, each by the background of the half that it is not in; what all halves share is scored once."""
+
+    def __init__(self, halves: list[Plain]):
+        self.models = [halves[1].models(), halves[0].models()]
+
+    def score(self, half: int, value: str, best: float, shape: float) -> float:
+        return (best - max(shape, *(m.bits(value) for m in self.models[half]))) / max(len(value), 1)
+
+
+def _background(count: Callable[[Judge | None, float], list[Plain]], threshold: float) -> list[Plain]:
+    """Both halves of the candidates without what looks like a secret: ``count`` counts those that a judge scores below a limit."""
+    whole = now = count(None, 0.0)
     for _ in range(ROUNDS):
         # secrets that no rule names stand among the candidates: what looks like one does not teach what is plain
-        scorer = Scorer(formats, [shapes, Pairs(own)] + ([learn(own)] if own else []), threshold)
-        again = [v for v in plain[::2] if scorer.score(v) < (scorer.threshold if len(own) < len(plain[::2]) else 0)]
-        if not formats or again == own:
+        again = count(Judge(now), threshold if now != whole else 0.0)
+        if again == now:
             break
-        own = again
-    if formats and held:
-        scores = sorted(map(scorer.score, held))
+        now = again
+    return now
+
+
+def _formats(labelled: list[tuple[int, str]], counted: dict[int, Counter]) -> list[Automaton]:
+    """An automaton for each kind of (kind, credential) pairs and counted values."""
+    groups: dict[int, list[str]] = {}
+    for kind, value in labelled:
+        groups.setdefault(kind, []).append(value)
+    return [merge(counted[k] + steps(groups.get(k, []))) if k in counted else learn(groups[k]) for k in sorted(groups.keys() | counted.keys())]
+
+
+def train(labelled: list[tuple[int, str]], plain: list[str], threshold: float = THRESHOLD) -> Scorer:
+    """Learn from lists of (kind, credential) pairs and of candidates that stand for what is no secret."""
+    formats, shapes = _formats(labelled, {}), learn(plain_shapes())
+    if not formats:
+        return Scorer([], [shapes], threshold)
+    parts = [(i % 2, v, max(a.bits(v) for a in formats), shapes.bits(v)) for i, v in enumerate(plain)]
+
+    def count(judge: Judge | None, limit: float) -> list[Plain]:
+        out = [Plain(), Plain()]
+        for half in (0, 1):
+            out[half].add([p[1] for p in parts if p[0] == half and (judge is None or judge.score(*p) < limit)])
+        return out
+
+    halves = _background(count, threshold)
+    scorer = Scorer(formats, [shapes, *(halves[0] + halves[1]).models()], threshold)
+    if parts:
+        scores = sorted(Judge(halves).score(*p) for p in parts)
         middle = scores[len(scores) // 2]
         spread = sorted(abs(s - middle) for s in scores)[len(scores) // 2]
         scorer.threshold = max(threshold, middle + SPREADS * spread)
     return scorer
 
 
-def _samples(values: DataFrame, limits: dict[int, int]) -> dict[int, list[str]]:
-    """For each kind its first distinct values in the order of a hash.
-
-    Counts of distinct values tell below which hash enough of them lie, so that what is
-    sorted and brought to the driver is bounded, however many there are.
-    """
-    rows = values.where(F.length("value") <= MAX_LENGTH).withColumn("h", F.xxhash64("value", F.lit(1)))
-    sizes = {r["kind"]: r["n"] for r in rows.groupBy("kind").agg(F.approx_count_distinct("h", 0.05).alias("n")).collect()}
-    out = {}
-    for kind in sizes:
-        limit = limits.get(kind, MAX_LABELLED)
-        own = rows.where(F.col("kind") == kind)
-        share = 2 * limit / max(sizes[kind], 1)
-        if share < 0.5:
-            own = own.where(F.col("h") < int(-(1 << 63) + share * (1 << 64)))
-        found = own.select("h", "value").distinct().orderBy("h", "value").limit(limit).collect()
-        out[kind] = [r["value"] for r in found]
+COUNTS = "part int, place string, step string, n long"
+
+
+def _rows(counts: dict[int, Counter]) -> pd.DataFrame:
+    return pd.DataFrame([(k, *at, n) for k, own in counts.items() for at, n in own.items()], columns=["part", "place", "step", "n"])
+
+
+def _summed(parts: DataFrame) -> dict[int, Counter]:
+    """Counts of all tasks by part."""
+    out: dict[int, Counter] = {}
+    for r in parts.groupBy("part", "place", "step").agg(F.sum("n").alias("n")).collect():
+        out.setdefault(r["part"], Counter())[r["place"], r["step"]] = r["n"]
     return out
 
 
+def _middle(numbers: DataFrame, value: F.Column) -> float:
+    """The number at half the count in order, exactly: bins around it are narrowed until few numbers are left."""
+    rows = numbers.select(value.alias("v"))
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    at = n // 2
+    while n > FEW and low < high:
+        width = (high - low) / 1024
+        bins = F.least(F.lit(1023), F.floor((F.col("v") - low) / width)).alias("bin")
+        found = rows.where(F.col("v").between(low, high)).groupBy(bins).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        for _, n, low, high in sorted(map(tuple, found.collect())):
+            if at < n:
+                break
+            at -= n
+    return low if low == high else sorted(r["v"] for r in rows.where(F.col("v").between(low, high)).collect())[at]
+
+
 def learned(found: DataFrame, labelled: list[tuple[int, str]] | None = None, threshold: float = THRESHOLD) -> Scorer:
-    """A scorer from scanned documents and the caller's own credentials."""
+    """A scorer from all values of scanned documents and the caller's own credentials."""
     values = found.select(F.explode("spans").alias("s")).select("s.kind", "s.value")
     plain = found.select(F.explode("candidates").alias("c")).select(F.lit(PLAIN).alias("kind"), "c.value")
-    samples = _samples(values.unionByName(plain), {PLAIN: MAX_PLAIN})
-    background = samples.pop(PLAIN, [])
+    values = materialise(values.unionByName(plain).distinct(), "values")
+
+    def count_rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[int, Counter] = {}
+        for batch in batches:
+            for kind, own in batch.groupby("kind")["value"]:
+                counts.setdefault(int(kind), Counter()).update(steps(own))
+        yield _rows(counts)
+
     added = published() if labelled is None else labelled
-    return train([(k, v) for k, own in sorted(samples.items()) for v in own] + list(added), background, threshold)
+    formats, shapes = _formats(list(added), _summed(values.where(F.col("kind") != PLAIN).mapInPandas(count_rules, COUNTS))), learn(plain_shapes())
+    if not formats:
+        return Scorer([], [shapes], threshold)
+    spark = found.sparkSession
+    fixed = spark.sparkContext.broadcast((formats, shapes))
+
+    def score_fixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        formats, shapes = fixed.value
+        for batch in batches:
+            best = [max(a.bits(v) for a in formats) for v in batch["value"]]
+            yield batch.assign(best=best, shape=[shapes.bits(v) for v in batch["value"]])
+
+    half = (F.xxhash64("value", F.lit(1)) % 2 != 0).cast("int").alias("half")
+    parts = materialise(values.where(F.col("kind") == PLAIN).select(half, "value").mapInPandas(score_fixed, "half int, value string, best double, shape double"), "plain")
+
+    def judged(batch: pd.DataFrame, judge: Judge) -> list[float]:
+        return [judge.score(*row) for row in zip(batch["half"], batch["value"], batch["best"], batch["shape"], strict=True)]
+
+    def count(judge: Judge | None, limit: float) -> list[Plain]:
+        told = spark.sparkContext.broadcast(judge)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            halves = [Plain(), Plain()]
+            for batch in batches:
+                if told.value is not None:
+                    batch = batch[[s < limit for s in judged(batch, told.value)]]
+                for i, own in batch.groupby("half")["value"]:
+                    halves[int(i)].add(list(own))
+            yield _rows({2 * i + j: c for i, h in enumerate(halves) for j, c in enumerate((h.states, h.pairs))})
+
+        sums = _summed(parts.mapInPandas(run, COUNTS))
+        return [Plain(sums.get(0), sums.get(1)), Plain(sums.get(2), sums.get(3))]
+
+    halves = _background(count, threshold)
+    scorer = Scorer(formats, [shapes, *(halves[0] + halves[1]).models()], threshold)
+    if measured(parts)["rows"]:
+        told = spark.sparkContext.broadcast(Judge(halves))
+
+        def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"score": judged(batch, told.value)})
+
+        scores = materialise(parts.mapInPandas(final, "score double"), "scores")
+        middle = _middle(scores, F.col("score"))
+        scorer.threshold = max(threshold, middle + SPREADS * _middle(scores, F.abs(F.col("score") - middle)))
+    return scorer
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", labelled: list[tuple[int, str]] | None = None,

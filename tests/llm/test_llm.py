@@ -263,6 +263,49 @@ def test_format_precision_and_recall(spark):
     assert all(s["score"] is not None for spans in got.values() for s in spans)
 
 
+def test_secrets_are_learnt_from_all_values(spark, monkeypatch):
+    """More values of a kind, and longer ones, than the samples held that were taken once; counted in parts as from one list."""
+    rng = random.Random(12)
+
+    def draw(k, chars=B62):
+        return "".join(rng.choice(chars) for _ in range(k))
+
+    rule = [draw(rng.randrange(12, 200), B62 + ".") for _ in range(900)]
+    plain = [draw(rng.randrange(12, 30), "abcdefghij") for _ in range(4500)] + [draw(500, "qrstuv")]
+    texts = [f"token={v} and {v}" for v in rule] + [f"{v} is {v}" for v in plain]
+    seen = []
+    monkeypatch.setattr(secrets, "merge", lambda counts: seen.append(counts) or grammar.merge(counts))
+    monkeypatch.setattr(secrets, "ROUNDS", 0)
+    monkeypatch.setattr(secrets, "FEW", 50)
+    docs = frame(spark, list(enumerate(texts))).repartition(7)
+    scorer = secrets.learned(docs.select(secrets._scan_column(F.col("text")).alias("s")).select("s.*"))
+    values = {s[3] for t in texts for s in secrets.rule_spans(t) if s[1] == 0}
+    found = {c for t in texts for *_, c in secrets.candidates(t, secrets.rule_spans(t))}
+    assert len(values) >= 900 and len(found) > 4500
+    assert seen[0] == grammar.steps(values)
+    assert grammar.steps(found) in seen
+    assert sum(n for (_, c), n in seen[0].items() if c != grammar.STOP) == sum(map(len, values))
+    best, shapes = scorer.formats, grammar.learn(secrets.plain_shapes())
+    halves = [secrets.Plain(), secrets.Plain()]
+    told = {r["value"]: int(r["h"] % 2 != 0) for r in frame(spark, list(enumerate(sorted(found)))).select(F.col("text").alias("value"), F.xxhash64("text", F.lit(1)).alias("h")).collect()}
+    for v, half in told.items():
+        halves[half].add([v])
+    judge = secrets.Judge(halves)
+    scores = sorted(judge.score(told[v], v, max(a.bits(v) for a in best), shapes.bits(v)) for v in found)
+    middle = scores[len(scores) // 2]
+    spread = sorted(abs(s - middle) for s in scores)[len(scores) // 2]
+    assert scorer.threshold == pytest.approx(max(secrets.THRESHOLD, middle + secrets.SPREADS * spread))
+
+
+def test_counted_places_merge_like_a_prefix_tree():
+    rng = random.Random(1)
+    strings = ["".join("a" if rng.random() < 0.8 else "9" for _ in range(20)) for _ in range(3000)]
+    machine = grammar.merge(grammar.steps(strings[:1000]) + grammar.steps(strings[1000:]))
+    assert machine.bits("a" * 20) > machine.bits("9" * 20)
+    assert machine.bits("AKIA") < machine.bits("aaaa")
+    assert grammar.steps(["", "a9", "a9AAAAz"])["0", ""] == 1 and grammar.steps(["a9AAAAz"])["1AAA", "l"] == 1
+
+
 def test_candidates_are_what_rules_leave():
     text = "xx 0123456789abcdef0123-ZZtop9QwErTy1 yy token=abcdefghijklmnop/q"
     spans = secrets.rule_spans(text)
