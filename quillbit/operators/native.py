@@ -26,6 +26,7 @@ RETURNS = {
     "check": T.StructType([T.StructField("bits", T.LongType()), T.StructField("ideal", T.DoubleType()), T.StructField("same", T.BooleanType())]),
     "score": T.ArrayType(T.StructType([T.StructField(n, t()) for n, t in (("algo", T.StringType), ("replication", T.IntegerType), ("csize", T.LongType), ("bits", T.LongType), ("status", T.StringType),
                                        ("wall", T.DoubleType), ("cpu", T.DoubleType), ("memory", T.LongType), ("grown", T.LongType))])),
+    "regions": T.StructType([T.StructField("steps", T.LongType()), T.StructField("inside", T.BooleanType())]),
     "pack": T.BinaryType(), "unpack": T.BinaryType(), "measure": T.LongType(), "entropies": T.ArrayType(T.DoubleType()),
 }
 #: Bases of the kernel, by name: None for even priors, else the ranges whose masses the priors follow.
@@ -75,8 +76,8 @@ def _loader(sc: SparkContext):
 
 
 def column(data: Column, work: str, spec: ModelSpec, asked: list[int] | None = None, scoring: tuple[str, int, bool] | None = None) -> Column | None:
-    """What the kernel says of each value: ``check`` (bits, ideal, same), ``pack``, ``unpack``, ``measure``, ``entropies``
-    over the symbols ``asked`` for, or ``score`` under a name, so many times, unpacked as well or not (``scoring``)."""
+    """What the kernel says of each value: ``check`` (bits, ideal, same), ``regions`` (steps, inside), ``pack``, ``unpack``, ``measure``,
+    ``entropies`` over the symbols ``asked`` for, or ``score`` under a name, so many times, unpacked as well or not (``scoring``)."""
     told, sc = arguments(spec), SparkContext._active_spark_context
     if told is None or sc is None or sc._jvm is None:
         return None

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillbit.operators import generate, native
-from quillbit.plans import score
+from quillbit.operators.coder import BitCounter
+from quillbit.plans import catalog, score
 from quillbit.plans.spec import parse
 
 TEXTS = [b"", b"a", b"abracadabra " * 20, "naïve 😀 ключ κόσμε".encode() * 3, bytes(range(256)), b"\xed\xa0\x80\xc0\xaf\xff\xf4\x90\x80\x80\xe2\x82" * 4, bytes(i * i * 7 % 251 for i in range(1500))]
@@ -79,3 +80,27 @@ def test_grid_by_the_kernel_has_the_sizes_of_python(texts):
     columns = ["file", "size", "algo", "replication", "csize", "status", "bits_per_byte"]
     assert sorted(both[0].select(columns).collect()) == sorted(both[1].select(columns).collect())
     assert both[0].where("wall > 0 AND cpu >= 0 AND memory > 0 AND grown >= 0").count() == 6 * (len(TEXTS) + 1)
+
+
+@pytest.mark.parametrize("layer,base", [("ppm:d=2", "uniform_byte"), ("ppm:d=2", "polya_stoken_uniform_byte"), ("crp:a=1:b=0.25", "uniform_byte")])
+def test_regions_are_those_of_the_trace(texts, layer, base):
+    spec = parse(layer, base)
+    steps = F.forall("t", lambda s: (s["lo"] >= 0) & (s["lo"] < s["hi"]) & (s["hi"] <= s["total"]))
+    found = texts.select(score.regions_column(F.col("t"), spec).alias("r"), score.trace_column(F.col("t"), spec).alias("t"))
+    assert found.where((F.col("r.steps") == F.size("t")) & (F.col("r.inside") == steps)).count() == len(TEXTS) + 1
+
+
+def test_regions_outside_are_noted():
+    coder = score.Checking(BitCounter())
+    coder.narrow(0, 2, 4)
+    assert coder.inside
+    coder.narrow(1, 5, 4)
+    assert (coder.steps, coder.inside) == (2, False)
+
+
+def test_coder_trace_needs_no_python(spark, tmp_path):
+    rows = [(i, t.decode("utf-8", "replace")) for i, t in enumerate(TEXTS)] + [(len(TEXTS), None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.coder_trace(spark, str(tmp_path))
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert sorted(found.collect()) == [(i, len((t or "").encode()), True, True) for i, t in rows]
