@@ -253,8 +253,15 @@ def bits_column(texts: Column, symbols: Callable[[str], np.ndarray], model: Call
     return run(texts)
 
 
-def total_bits(docs: DataFrame, symbols: Callable[[str], np.ndarray], model: Callable[[Stream], np.ndarray]) -> DataFrame:
-    """(doc_id, n_symbols, bits): code length by document, rounded to 3 places, as ``adaptive.total_bits`` gives it."""
+def merged(texts: Column) -> Column:
+    """The characters of a document's texts as one text, in the order of ``Stream``."""
+    placed = F.transform(texts, lambda t, k: F.transform(F.split(t, ""), lambda c, i: F.struct(i.alias("i"), k.alias("k"), c.alias("c"))))
+    return F.when(F.size(texts) == 1, texts[0]).otherwise(F.array_join(F.transform(F.array_sort(F.flatten(placed)), lambda s: s["c"]), ""))
+
+
+def total_bits(docs: DataFrame, symbols: Callable[[str], np.ndarray], model: Callable[[Stream], np.ndarray], **more: Column) -> DataFrame:
+    """(doc_id, n_symbols, bits): code length by document, rounded to 3 places, as ``adaptive.total_bits`` gives it; then
+    the columns in ``more``, which are of the array ``texts`` of a document."""
     whole = docs.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
-    found = whole.select("doc_id", bits_column(F.col("texts"), symbols, model).alias("b"))
-    return found.select("doc_id", "b.n_symbols", F.round("b.bits", 3).alias("bits"))
+    found = whole.select("doc_id", bits_column(F.col("texts"), symbols, model).alias("b"), *(c.alias(k) for k, c in more.items()))
+    return found.select("doc_id", "b.n_symbols", F.round("b.bits", 3).alias("bits"), *more)

@@ -1,4 +1,4 @@
-"""PPM and LZW over texts in the executors' JVM: ``Kernel.java``, which repeats the Python models bit for bit.
+"""PPM, LZW and restaurants over texts in the executors' JVM: ``Kernel.java``, which repeats the Python models bit for bit.
 
 The driver compiles the source with the compiler that Spark brings along (Janino) and adds the
 classes as a jar, once for each Spark context. Stacks that the kernel does not know, and
@@ -29,13 +29,15 @@ RETURNS = {
     "regions": T.StructType([T.StructField("steps", T.LongType()), T.StructField("inside", T.BooleanType())]),
     "pack": T.BinaryType(), "unpack": T.BinaryType(), "measure": T.LongType(), "entropies": T.ArrayType(T.DoubleType()),
 }
+#: Longest text, and largest total of a restaurant, in bits.
+LENGTH, TOTAL = 31, 62
 #: Bases of the kernel, by name: None for even priors, else the ranges whose masses the priors follow.
 BASES = {"uniform_byte": None, "uniform_stoken": None, "lzw_byte": None, "polya_byte": None, "polya_stoken": None, "polya_stoken_uniform_byte": RANDOM_BYTES, "polya_stoken_uniform_token": "even"}
 
 
 @cache
 def arguments(spec: ModelSpec) -> tuple[str, ...] | None:
-    """What ``Kernel.with`` is told of a stack, after the work."""
+    """What ``Kernel.with`` is told of a stack, after the work. Restaurants are known over uniform tokens of the simple alphabet."""
     stack = spec.build()
     base, top = stack[0], stack[-1]
     if spec.base.name not in BASES or len(stack) > 2:
@@ -44,6 +46,8 @@ def arguments(spec: ModelSpec) -> tuple[str, ...] | None:
         kind, layer = "ppm", (top.depth, top.a, top.b, top.unit)
     elif isinstance(top, M.LZW):
         kind, layer, base = "lzw" if top.seeded else "lzwEscape", (0, 0, 0, 1), top.base
+    elif isinstance(top, M.CRP) and spec.base.name == "uniform_stoken" and ((top.unit << LENGTH) + abs(top.a)) * base.size < 1 << TOTAL:
+        kind, layer = "crp", (0, top.a, top.b, top.unit)
     else:
         return None
     tree, ranges, num, den = isinstance(base, M.PolyaTree), [], 0, 1

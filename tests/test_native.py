@@ -2,7 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quillbit.operators import generate, native
+from quillbit.operators import counting, generate, native
 from quillbit.operators.coder import BitCounter
 from quillbit.plans import catalog, score
 from quillbit.plans.spec import parse
@@ -104,3 +104,38 @@ def test_coder_trace_needs_no_python(spark, tmp_path):
     found = catalog.coder_trace(spark, str(tmp_path))
     assert "Python" not in found._jdf.queryExecution().toString()
     assert sorted(found.collect()) == [(i, len((t or "").encode()), True, True) for i, t in rows]
+
+
+@pytest.mark.parametrize("layer", ["crp:a=1:b=0", "crp:a=1:b=0.25", "crp:a=0.3:b=0.5", "crp:a=1000000000:b=0.5"])
+def test_restaurants_are_those_of_python(texts, layer):
+    same_as_python(texts, layer, "uniform_stoken")
+
+
+def test_a_restaurant_of_many_dishes(spark):
+    text, spec = "".join(chr(0x4E00 + i * i * i % 2999) for i in range(5000)), parse("crp:a=1:b=0.5", "uniform_stoken")
+    found = spark.createDataFrame([(text,)], "t string").select(native.column(F.col("t"), "check", spec).alias("c"), native.column(F.col("t"), "pack", spec).alias("p")).first()
+    assert bytes(found["p"]) == score.compress(text.encode(), spec) and found["c"]["same"]
+
+
+def test_totals_beyond_the_kernel_stay_in_python():
+    assert native.arguments(parse("crp:a=1:b=0", "uniform_stoken")) is not None
+    assert native.arguments(parse("crp:a=1:b=0.123456", "uniform_stoken")) is None
+
+
+def test_size_crp_is_one_exchange_and_a_row_for_each_key(spark, tmp_path):
+    rows = [(i, t.decode("utf-8", "replace")) for i, t in enumerate(TEXTS)] + [(2, "cadabra"), (2, "ключ"), (3, "z" * 200), (90, None)]
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.size_crp(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1 and "Join" not in plan
+    ideal = {r["doc_id"]: (r["n_symbols"], r["bits"]) for r in catalog.bits_crp(spark, str(tmp_path)).collect()}
+    assert sorted(found.collect()) == [(i, *ideal[i], True) for i in range(1, len(TEXTS))]
+    n = sum(len(t or "") for i, t in rows if i == 2)
+    assert ideal[2][0] == n
+
+
+def test_merged_texts_are_in_the_order_of_streams(spark):
+    texts = ["naïve 😀", "abc", "κόσμε und mehr"]
+    found = spark.createDataFrame([(texts,), (texts[:1],)], "t array<string>").select(counting.merged(F.col("t")).alias("m")).collect()
+    assert [list(map(ord, r["m"])) for r in found] == [counting.Stream([[counting.code_points(x) for x in t]]).sym.tolist() for t in (texts, texts[:1])]
